@@ -19,8 +19,15 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("spans").cast("long").alias("n_spans"))
 
 
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindred.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), radius=6)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op9_simhash_dedup": op9_simhash_dedup,
 }
 
 #: DuckDB's form of the queries that SQL can express on whole tables.
