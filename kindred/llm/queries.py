@@ -19,6 +19,19 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("spans").cast("long").alias("n_spans"))
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindred.llm.mixing import mix_sources
+
+    mixed = mix_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.expr("transform(draws, d -> d.shard)").alias("shards"))
+
+
+def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindred.llm.sharding import kd_shards
+
+    return kd_shards(table(spark, sf_dir, "documents"), shards=24)
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kindred.llm.simhash import near_duplicates
 
@@ -27,6 +40,8 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_mix_sources": op2_mix_sources,
+    "op8_kd_shards": op8_kd_shards,
     "op9_simhash_dedup": op9_simhash_dedup,
 }
 
