@@ -78,6 +78,7 @@ def emit(entries: list[Entries], rids: list[np.ndarray], tags: list[np.ndarray],
     """Rows for one chunk: each distinct hash once, at its least place, packed per slot; places settled here at once, under slots below 0.
 
     repeats_all: whether the least place of a hash that the chunk has again is settled too (it repeats), or only the later ones.
+    Of a hash that goes to its slot, ``known`` says whether another place here has it.
     """
     rid, tag = np.concatenate(rids), np.concatenate(tags)
     base = np.cumsum([0, *map(len, rids)])[:-1]
@@ -90,7 +91,8 @@ def emit(entries: list[Entries], rids: list[np.ndarray], tags: list[np.ndarray],
         settled = np.repeat(count > 1, count)
         known = (count > 1).astype(np.uint8)
     else:
-        settled, known = ~begins & later, np.zeros(int(begins.sum()), np.uint8)
+        settled = ~begins & later
+        known = np.maximum.reduceat(settled, np.flatnonzero(begins)).astype(np.uint8) if len(by) else np.zeros(0, np.uint8)
     out = by[settled]
     if len(out):
         r, t, blobs = _places(rid[doc[out]], tag[doc[out]], pos[out])
@@ -156,13 +158,19 @@ def chunked(batches: Iterator[pa.RecordBatch], take: Callable[[pa.RecordBatch],
         yield from emit(held, rids, tags, slot_of, slots, repeats_all)
 
 
-def repeated_anchors(docs: DataFrame, window: int, gram: int, slots: int) -> DataFrame:
-    """(rid, tag, places): of each document that has any, the positions of anchors that occur again anywhere, as uint32 blobs."""
+def repeated_anchors(docs: DataFrame, window: int, gram: int, slots: int, depth: int | None = None) -> DataFrame:
+    """(rid, tag, places): of each document that has any, the positions of anchors that occur again anywhere, as uint32 blobs.
+
+    An anchor is compared by its gram, or by the ``depth`` words from it on where that is given (it then needs as many).
+    """
 
     def take(piece: pa.RecordBatch) -> Entries:
         words = Words(piece.column("text"))
-        grams = words.windows(words.hashes(), gram)
+        hashes = words.hashes()
+        grams = words.windows(hashes, gram)
         _, chosen = minimisers(grams, words.fits(window), window - gram + 1)
+        if depth is not None:
+            grams, chosen = words.windows(hashes, depth), chosen & words.fits(depth)
         at = np.flatnonzero(chosen)
         doc = words.doc[at]
         return Entries((grams[at],), doc, at - words.first[doc])

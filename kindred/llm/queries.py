@@ -26,6 +26,19 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.expr("transform(draws, d -> d.shard)").alias("shards"))
 
 
+def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindred.llm.line_rules import judge_lines
+
+    judged = judge_lines(table(spark, sf_dir, "documents"), host_col="source")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
+
+
+def op7_sparse_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindred.llm.sparse_suffix import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"), length=50)
+
+
 def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kindred.llm.sharding import kd_shards
 
@@ -41,6 +54,8 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mix_sources": op2_mix_sources,
+    "op5_line_rules": op5_line_rules,
+    "op7_sparse_suffix_dedup": op7_sparse_suffix_dedup,
     "op8_kd_shards": op8_kd_shards,
     "op9_simhash_dedup": op9_simhash_dedup,
 }
@@ -72,4 +87,40 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
                sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_spans, 0)::BIGINT AS n_spans
         FROM documents d LEFT JOIN result USING (doc_id)""",
+    "op5_line_rules": r"""
+        WITH base AS (
+            SELECT doc_id, coalesce(source, chr(1) || 'none') AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS list FROM documents
+        ), words AS (
+            SELECT doc_id, unnest(list) AS word, generate_subscripts(list, 1) AS pos FROM base
+        ), windows AS (
+            SELECT doc_id, pos, word || ' ' || lead(word) OVER w || ' ' || lead(word, 2) OVER w AS body FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+        ), again AS (
+            SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, body) > 1 AND body IS NOT NULL AS twice FROM windows
+        ), covered AS (
+            SELECT doc_id, count(*) FILTER (near) AS n_repeat_words FROM (
+                SELECT doc_id, bool_or(twice) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS near FROM again
+            ) GROUP BY doc_id
+        ), split AS (
+            SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM base
+        ), lines AS (
+            SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+                   trim(regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '[\x20\x09-\x0D!-/:-@\[-`{-~]+', ' ', 'g')) AS norm
+            FROM split
+        ), dup AS (
+            SELECT doc_id, count(*) FILTER (n > 0 AND nth > 1) AS n_dup_lines FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY line_no) AS nth FROM lines) GROUP BY doc_id
+        ), hosts AS (
+            SELECT host, greatest(20, count(*) / 1000.0) AS most FROM base GROUP BY host
+        ), hot AS (
+            SELECT host, norm FROM lines JOIN hosts USING (host) WHERE norm <> '' GROUP BY host, norm, most HAVING count(DISTINCT doc_id) > most
+        ), removed AS (
+            SELECT doc_id, sum(n)::BIGINT AS n_removed_words FROM lines JOIN hot USING (host, norm) GROUP BY doc_id
+        ), result AS (
+            SELECT b.doc_id, len(list)::BIGINT AS n_words, coalesce(length(array_to_string(list, '')), 0)::BIGINT AS word_chars,
+                   len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+                   coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_removed_words, 0)::BIGINT AS n_removed_words
+            FROM base b LEFT JOIN covered USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN removed USING (doc_id)
+        )
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 10 * (n_words - n_removed_words) >= 3 * n_words AS kept
+        FROM result""",
 }

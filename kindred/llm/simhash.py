@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.textkit import CHUNK, Words, pieces
+from kindred.llm.textkit import CHUNK, LOWER, Words, pieces
 from kindred.llm.xxh64 import xxh64
 from kindred.operators.components import connected_components
 from kindred.shared import discard, materialise
@@ -32,7 +32,7 @@ CELL = 1 << 16
 
 def fingerprints_of(array: pa.Array, shingle: int = 2, seed: int = 42) -> np.ndarray:
     """64-bit SimHash of each text: A-Z lower-cased, shingles of ``shingle`` words joined by one space, repeats included."""
-    words = Words(array, lower=True)
+    words = Words(array, LOWER)
     length = words.end - words.start
     at = np.cumsum(length + 1) - length - 1
     rank = np.arange(int(length.sum()))

@@ -88,13 +88,32 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, most: int = CHUNK) ->
             at = to
 
 
+def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of data[start : end] for ascending ranges that don't overlap."""
+    out = np.empty(len(start), dtype=np.uint64)
+    at = 0
+    with np.errstate(over="ignore"):
+        while at < len(start):
+            to = max(at + 1, int(np.searchsorted(end, start[at] + CHUNK, side="right")))
+            low = int(start[at])
+            body = data[low : int(end[to - 1])]
+            up, down = _BYTES(len(body) + 1)
+            sums = np.zeros(len(body) + 1, dtype=np.uint64)
+            np.cumsum(_BYTE[body] * up[: len(body)], out=sums[1:])
+            s, e = start[at:to] - low, end[at:to] - low
+            out[at:to] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)
+            at = to
+    return mix(out)
+
+
 class Words:
     """Words of the documents of one array: byte ``start`` and ``end``, document ``doc``, and per document ``first`` (len + 1)."""
 
-    def __init__(self, array: pa.Array, lower: bool = False):
+    def __init__(self, array: pa.Array, fold: np.ndarray | None = None):
+        """fold: a table of 256 bytes that each byte goes through first."""
         self.data, self.offsets = raw(array)
-        if lower:
-            self.data = LOWER[self.data]
+        if fold is not None:
+            self.data = fold[self.data]
         n = len(self.data)
         self.docs = len(array)
         word = ~SPACE[self.data]
@@ -115,20 +134,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64-bit hash of each word's bytes."""
-        out = np.empty(len(self), dtype=np.uint64)
-        at = 0
-        with np.errstate(over="ignore"):
-            while at < len(self):
-                to = max(at + 1, int(np.searchsorted(self.end, self.start[at] + CHUNK, side="right")))
-                low = int(self.start[at])
-                body = self.data[low : int(self.end[to - 1])]
-                up, down = _BYTES(len(body) + 1)
-                sums = np.zeros(len(body) + 1, dtype=np.uint64)
-                np.cumsum(_BYTE[body] * up[: len(body)], out=sums[1:])
-                s, e = self.start[at:to] - low, self.end[at:to] - low
-                out[at:to] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)
-                at = to
-        return mix(out)
+        return hash_ranges(self.data, self.start, self.end)
 
     def windows(self, hashes: np.ndarray, size: int, second: bool = False) -> np.ndarray:
         """Hash of the ``size`` words from each word on; windows over the array's end get 0, those over a document's end are meaningless."""
