@@ -26,6 +26,16 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.expr("transform(draws, d -> d.shard)").alias("shards"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindred.llm.pii import personal_data
+
+    found = personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in ("email", "ip", "card", "phone", "term")]
+    listed = "array_join(transform({}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
+    base = F.sha2(F.expr(listed.format("filter(spans, s -> s.kind <> 'term')")), 256).alias("base_sha256")
+    return found.select("doc_id", *counts[:4], base, F.expr(listed.format("spans")).alias("spans"), counts[4])
+
+
 def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kindred.llm.line_rules import judge_lines
 
@@ -54,6 +64,7 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mix_sources": op2_mix_sources,
+    "op3_pii": op3_pii,
     "op5_line_rules": op5_line_rules,
     "op7_sparse_suffix_dedup": op7_sparse_suffix_dedup,
     "op8_kd_shards": op8_kd_shards,
