@@ -43,6 +43,13 @@ def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindred.llm.decontaminate import contaminated
+
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.col("item").alias("item_id"), F.round("score", 6).alias("score"), "passages", F.round("question", 6).alias("question"), F.round("answer", 6).alias("answer"), "start", "end")
+
+
 def op7_sparse_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kindred.llm.sparse_suffix import repeated_passages
 
@@ -66,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_pii": op3_pii,
     "op5_line_rules": op5_line_rules,
+    "op6_decontaminate": op6_decontaminate,
     "op7_sparse_suffix_dedup": op7_sparse_suffix_dedup,
     "op8_kd_shards": op8_kd_shards,
     "op9_simhash_dedup": op9_simhash_dedup,
