@@ -68,6 +68,12 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), radius=6)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindred.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mix_sources": op2_mix_sources,
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sparse_suffix_dedup": op7_sparse_suffix_dedup,
     "op8_kd_shards": op8_kd_shards,
     "op9_simhash_dedup": op9_simhash_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 #: DuckDB's form of the queries that SQL can express on whole tables.
