@@ -166,6 +166,30 @@ def batched(rows: Iterator[tuple[int, str]], segments: int, words: int) -> Itera
         yield held
 
 
+def indexes(benchmark: DataFrame, item_col: str, item_text_col: str, segments: int, words: int) -> Iterator[Index]:
+    rows = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("id"), F.col(f"`{item_text_col}`").alias("text")).dropna().orderBy("id", "text").toLocalIterator()
+    for batch in batched(((r["id"], r["text"]) for r in rows), segments, words):
+        yield Index(batch)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.5, verify: float = 0.75, gram: int = 3, shortest: int = 5, segments: int = SEGMENTS, words: int = WORDS) -> DataFrame:
+    """The rows of ``docs`` that hold no test item, with all their columns, without a shuffle; ``contaminated`` says what the others hold."""
+    out = docs
+    for index in indexes(benchmark, item_col, item_text_col, segments, words):
+
+        def scan(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+            for piece in pieces(batches, text_col):
+                n = piece.num_rows
+                numbered = pa.record_batch([pa.array(np.arange(n)), pa.array(np.zeros(n, np.int32)), piece.column(text_col)], names=["rid", "tag", "text"])
+                clean = np.ones(n, bool)
+                for found in find(numbered, index, threshold, verify, gram, shortest):
+                    clean[np.asarray(found.column("rid"))] = False
+                yield piece.filter(pa.array(clean))
+
+        out = out.mapInArrow(scan, docs.schema)
+    return out
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.5, verify: float = 0.75, gram: int = 3, shortest: int = 5, segments: int = SEGMENTS, words: int = WORDS) -> DataFrame:
     """Finds the documents that hold test items.
 
@@ -179,10 +203,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     or ``words`` is searched index by index. Other columns are ignored. Empty tables give an empty result.
     """
     base = keyed(docs, id_col, text_col)
-    rows = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("id"), F.col(f"`{item_text_col}`").alias("text")).dropna().orderBy("id", "text").toLocalIterator()
     result: DataFrame | None = None
-    for batch in batched(((r["id"], r["text"]) for r in rows), segments, words):
-        index = Index(batch)
+    for index in indexes(benchmark, item_col, item_text_col, segments, words):
 
         def scan(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for piece in pieces(batches, "text"):

@@ -72,7 +72,7 @@ def fill(sizes: np.ndarray, room: int) -> np.ndarray:
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, shards: int = 16, seed: int = 17, block: int = BLOCK) -> DataFrame:
     """Draws a mix of ``share`` times all words, sources (by code point, null last) weighing ``weights``, repeating.
 
-    Returns one row per row of ``docs``: the id, size (words), source_size, target (its source's), taken (words the mix
+    Returns one row per row of ``docs``: the id, tag (a hash of the text), size (words), source_size, target (its source's), taken (words the mix
     takes from it: its size times copies), copies, and draws (one struct of shard and order for each copy; the order
     shuffles the rows of a shard). A document is taken whole, at most ``most`` times. Which ones depends on ids, sources,
     sizes and ``seed`` alone, so reruns agree.
@@ -85,7 +85,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError("most must be a whole number of copies")
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{text_col}`").alias("text"))
-    rows = rows.select("id", "source", F.coalesce(F.when(F.col("text").isNotNull(), F.expr(WORDS)), F.lit(0)).cast("long").alias("size"))
+    rows = rows.select("id", "source", F.hash(F.coalesce("text", F.lit(""))).alias("tag"), F.coalesce(F.when(F.col("text").isNotNull(), F.expr(WORDS)), F.lit(0)).cast("long").alias("size"))
     rows = materialise(rows, "sizes")
     per = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).toArrow().to_pylist()
     if len(per) > MOST_SOURCES:
@@ -103,7 +103,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sources = spark.createDataFrame(plan, fields) if plan else spark.createDataFrame([], fields)
     # the hash of id and size spreads rows of one id over as many blocks as they have sizes
     placed = rows.join(F.broadcast(sources), rows["source"].eqNullSafe(sources["source"])).select(
-        "id", "size", "k", "source_size", "target", "full", "rest", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks")).alias("block")
+        "id", "tag", "size", "k", "source_size", "target", "full", "rest", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks")).alias("block")
     )
     totals = placed.groupBy("k", "block", "full", "rest").agg(F.sum("size").alias("words"))
     order = Window.partitionBy("k").orderBy(F.xxhash64("k", "block", F.lit(seed + 1)), "block")
@@ -142,6 +142,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     both = joined.filter("extra <> 1").withColumn("taken_extra", F.col("extra") == 2).unionByName(chosen)
     out = both.withColumn("copies", F.col("full") + F.col("taken_extra").cast("int")).select(
         F.col("id").cast(kind).alias(id_col),
+        "tag",
         "size",
         "source_size",
         "target",

@@ -36,6 +36,13 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts[:4], base, F.expr(listed.format("spans")).alias("spans"), counts[4])
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kindred.llm.quality import quality
+
+    scored = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", *[F.round(c, 6).alias(c) for c in ("score", "text_score", "meta_score")], "kept")
+
+
 def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kindred.llm.line_rules import judge_lines
 
@@ -78,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op3_pii": op3_pii,
+    "op4_quality": op4_quality,
     "op5_line_rules": op5_line_rules,
     "op6_decontaminate": op6_decontaminate,
     "op7_sparse_suffix_dedup": op7_sparse_suffix_dedup,
