@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
 Toxic text is what the labelled toxic rows hold beyond chance: words that start with a significant prefix (counted by
-contexts, so copies of a document count once). Ordinary text is what the other rows hold most. Two zstandard dictionaries are
+documents, near copies once). Ordinary text is what the other rows hold most. Two zstandard dictionaries are
 made of them. A window is one word between fixed neighbours, each byte followed by a mark of the bytes up to it,
 so that only beginnings of words match; its distance is the compressed length with the ordinary dictionary minus that with the toxic
 one, over the word's length. A document's features are its greatest distance, how many windows lie beyond a cut, and its
@@ -10,8 +10,9 @@ length; cut and weights are calibrated on the training rows.
 
 from __future__ import annotations
 
+import heapq
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ from kindred.llm.textkit import LOWER, Words, pieces
 _FOLD = LOWER.copy()
 _FOLD[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 0x20
 #: Labelled rows to learn from, least hash of the id first.
-SAMPLE = 8000
+SAMPLE = 5000
 #: Bytes of each dictionary.
 DICTIONARY = 12_000
 LEFT, RIGHT = b" of the that ", b" with this from "
@@ -64,7 +65,9 @@ class Model:
         return Distances(self.toxic, self.ordinary)
 
     def score(self, words: Words, distance: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(inputs(words, distance, self.cut) @ np.array(self.weights), -30, 30)))
+        at = np.flatnonzero(distance > 0)
+        x = inputs(words.docs, words.count, words.doc[at], distance[at], self.cut)
+        return 1 / (1 + np.exp(-np.clip(x @ np.array(self.weights), -30, 30)))
 
 
 class Distances:
@@ -96,17 +99,12 @@ class Distances:
         return out[back]
 
 
-def greatest(words: Words, distance: np.ndarray) -> np.ndarray:
-    """Greatest distance of each document's windows, 0 at least."""
-    out = np.zeros(words.docs)
-    np.maximum.at(out, words.doc, distance)
-    return out
-
-
-def inputs(words: Words, distance: np.ndarray, cut: float) -> np.ndarray:
-    """(documents, 4): one, greatest distance, log of windows beyond the cut, log of words."""
-    beyond = np.bincount(words.doc[distance >= cut], minlength=words.docs)
-    return np.stack((np.ones(words.docs), greatest(words, distance), np.log1p(beyond), np.log1p(words.count)), axis=1)
+def inputs(docs: int, count: np.ndarray, doc: np.ndarray, distance: np.ndarray, cut: float) -> np.ndarray:
+    """(documents, 4): one, greatest distance (0 at least), log of windows beyond the cut, log of words; from the windows at a distance above 0."""
+    top = np.zeros(docs)
+    np.maximum.at(top, doc, distance)
+    beyond = np.bincount(doc[distance >= cut], minlength=docs)
+    return np.stack((np.ones(docs), top, np.log1p(beyond), np.log1p(count)), axis=1)
 
 
 def _excess(k: int, n: int, share: float) -> float:
@@ -139,45 +137,85 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def _chunks(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, Words]]:
+    """Words of consecutive texts, about ``most`` bytes at a time, with the first one's number."""
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size + len(texts[to]) <= most):
+            size += len(texts[to])
+            to += 1
+        yield at, Words(pa.array(texts[at:to], pa.large_string()), _FOLD)
+        at = to
+
+
+def first_copies(texts: list[str], shingle: int = 8) -> np.ndarray:
+    """Which texts share neither of their two least shingles with one before: of near copies mostly one."""
+    keep, seen = np.ones(len(texts), bool), set()
+    for at, words in _chunks(texts):
+        hashes = words.hashes()
+        for d in range(words.docs):
+            a, b = int(words.first[d]), int(words.first[d + 1])
+            own = words.windows(hashes[a:b], min(shingle, max(1, b - a)))[: max(1, b - a - shingle + 1)]
+            marks = np.unique(own)[:2].tolist()
+            keep[at + d] = not any(m in seen for m in marks)
+            seen.update(marks)
+    return keep
+
+
+def _distinct(texts: list[str]) -> Iterator[tuple[int, set[bytes]]]:
+    for at, words in _chunks(texts):
+        body = words.data.tobytes()
+        for d in range(words.docs):
+            a, b = words.first[d], words.first[d + 1]
+            yield at + d, {body[s:e] for s, e in zip(words.start[a:b].tolist(), words.end[a:b].tolist())}
+
+
 def learn(texts: list[str], labels: list[int], size: int = DICTIONARY) -> Model:
     """Dictionaries, cut and weights from labelled texts. Without rows of both labels every score is the share of toxic rows."""
+    texts = [t or "" for t in texts]
     y = np.array(labels, dtype=np.int64)
-    words = Words(pa.array([t or "" for t in texts], pa.large_string()), _FOLD)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model(b"", b"", math.inf, (math.log((share + 1e-9) / (1 - share + 1e-9)), 0.0, 0.0, 0.0))
-    body = words.data.tobytes()
-    tokens = [body[s:e] for s, e in zip(words.start.tolist(), words.end.tolist())]
-    # prefixes and words by side: contexts, and documents; copies add documents but no contexts, long documents the reverse
-    contexts = [defaultdict(set), defaultdict(set)]
-    documents: list[Counter] = [Counter(), Counter()]
-    whole: list[Counter] = [Counter(), Counter()]
-    for d in range(words.docs):
-        own = tokens[words.first[d] : words.first[d + 1]]
-        side, held = int(y[d]), set()
-        for k, w in enumerate(own):
-            around = hash((own[k - 1] if k else b"", own[k + 1] if k + 1 < len(own) else b""))
-            for n in range(PREFIX, min(len(w), LONGEST) + 1):
-                if side:
-                    contexts[1][w[:n]].add(around)
-                held.add(w[:n])
-        documents[side].update(held)
-        whole[side].update(set(own))
-    share = float(y.mean())
-    chance = math.log(100 * max(2, len(documents[1])))
-    marks = set()
-    for p, n in documents[1].items():
-        k, o = min(n, len(contexts[1][p])), documents[0].get(p, 0)
-        if k >= 3 and k / (k + o) > max(share, 0.6) and _excess(k, k + o, share) > chance:
+    single = first_copies(texts)
+    toxic_side = [t for t, one, label in zip(texts, single, y) if one and label]
+    plain_side = [t for t, one, label in zip(texts, single, y) if one and not label]
+    prefixes = lambda words: {w[:k] for w in words for k in range(PREFIX, min(len(w), LONGEST) + 1)}
+    toxic_n: Counter = Counter()
+    toxic_whole: Counter = Counter()
+    for _, own in _distinct(toxic_side):
+        toxic_n.update(prefixes(own))
+        toxic_whole.update(own)
+    candidates = {p for p, n in toxic_n.items() if n >= 3}
+    plain_n: Counter = Counter()
+    plain_whole: Counter = Counter()
+    for _, own in _distinct(plain_side):
+        plain_n.update(prefixes(own) & candidates)
+        plain_whole.update(own)
+    share = max(len(toxic_side), 1) / max(len(toxic_side) + len(plain_side), 2)
+    chance = math.log(100 * max(2, len(toxic_n)))
+    marks: set[bytes] = set()
+    for p in candidates:
+        k, o = toxic_n[p], plain_n.get(p, 0)
+        if k / (k + o) > max(share, 0.6) and _excess(k, k + o, share) > chance:
             marks.add(p)
-    toxic_words = sorted((w for w in whole[1] if any(w[:k] in marks for k in range(PREFIX, min(len(w), LONGEST) + 1))), key=lambda w: (whole[1][w], w))
-    model = Model(_content(toxic_words, size), b"", math.inf, (0.0, 0.0, 0.0, 0.0))
-    plain = sorted(whole[0], key=lambda w: (whole[0][w], w))
-    model.ordinary = _content(plain, size)
-    distance = model.scorer().of(words)
+    toxic_words = sorted((w for w in toxic_whole if any(w[:k] in marks for k in range(PREFIX, min(len(w), LONGEST) + 1))), key=lambda w: (toxic_whole[w], w))
+    # each word takes at least 5 bytes of the dictionary
+    plain_words = heapq.nlargest(size // 5 + 1, plain_whole, key=lambda w: (plain_whole[w], w))[::-1]
+    del plain_whole, plain_n, toxic_n, candidates
+    model = Model(_content(toxic_words, size), _content(plain_words, size), math.inf, (0.0, 0.0, 0.0, 0.0))
+    scorer, count, docs, distances = model.scorer(), [], [], []
+    for at, words in _chunks(texts):
+        distance = scorer.of(words)
+        far = np.flatnonzero(distance > 0)
+        count.append(words.count)
+        docs.append(words.doc[far] + at)
+        distances.append(distance[far])
+    count, doc, distance = np.concatenate(count), np.concatenate(docs), np.concatenate(distances)
     best: tuple = (math.inf,)
-    for cut in np.quantile(distance[distance > 0], np.linspace(0, 1, 65)).round(3).tolist() if (distance > 0).any() else [0.5]:
-        x = inputs(words, distance, cut)
+    for cut in np.unique(np.quantile(distance, np.linspace(0, 1, 65)).round(3)).tolist() if len(distance) else [0.5]:
+        x = inputs(len(y), count, doc, distance, cut)
         w = _logistic(x, y)
         p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-6, 1 - 1e-6)
         best = min(best, (float(-(np.log(p) * y + np.log(1 - p) * (1 - y)).sum()), cut, tuple(w.tolist())))
