@@ -100,7 +100,7 @@ def summary_text(made: DataFrame) -> DataFrame:
     """The summary as shown: counts grouped by thousands, the rate with a decimal."""
     shown = {c: F.format_number(c, 0) for c in ("groups", "grouped", "removable", "unique_images", "largest", "scanned")}
     rate = F.when(F.col("scanned") > 0, F.concat(F.format_string("%.1f", F.round("duplicate_rate", 1)), F.lit("%"))).otherwise(F.lit("0%"))
-    speed = F.coalesce(F.concat(F.format_string("%.1f", F.round("per_second", 1)), F.lit(" img/s")), F.lit("—"))
+    speed = F.when(F.col("per_second").isNull(), F.lit("—")).otherwise(F.concat(F.format_string("%.1f", F.round("per_second", 1)), F.lit(" img/s")))
     return made.select(*[c.alias(n) for n, c in shown.items()], rate.alias("duplicate_rate"), speed.alias("per_second"))
 
 
