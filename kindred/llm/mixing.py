@@ -2,7 +2,7 @@
 
 Each source gets a target share of the mix; a target above what the source may repeat is cut there and the excess shared
 out again by weight. A source's documents fall into blocks by a seeded hash, its blocks stand in a seeded permutation, and
-the first of them that fill the target are drawn; the block at the edge gives single documents. The exact number of drawn
+the first of them that fill the target are drawn; the few blocks at the edge give single documents. The exact number of drawn
 blocks per source is then split among the output shards: the root holds all quotas, each half of the shards gets a
 multivariate-hypergeometric share of its parent's, down to single shards. A shard takes the next disjoint run of each
 source's permuted blocks, and its documents are shuffled within it by a seeded hash.
@@ -22,6 +22,8 @@ from kindred.shared import discard, materialise
 #: Documents of a block, up to the point where a source has MOST_BLOCKS.
 BLOCK = 64
 MOST_BLOCKS = 1 << 16
+#: Blocks after the last whole one that give single documents, and about how many documents these hold at least.
+EDGE, EDGE_DOCUMENTS = 8, 512
 #: Sources that the driver plans for.
 MOST_SOURCES = 100_000
 WORDS = r"size(filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> ''))"
@@ -108,37 +110,40 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     totals = placed.groupBy("k", "block", "full", "rest").agg(F.sum("size").alias("words"))
     order = Window.partitionBy("k").orderBy(F.xxhash64("k", "block", F.lit(seed + 1)), "block")
     ranked = totals.withColumns({"rank": F.row_number().over(order) - 1, "upto": F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    # of the blocks in their permuted order: those within the rest give one copy more, the first beyond it some of its documents
-    ranked = ranked.withColumn("extra", F.when(F.col("upto") <= F.col("rest"), 2).when(F.col("upto") - F.col("words") < F.col("rest"), 1).otherwise(0))
-    ranked = materialise(ranked.select("k", "block", "full", "rank", "extra", (F.col("rest") - F.col("upto") + F.col("words")).alias("room")), "blocks")
-
-    # units: each copy of a block; first all blocks' full copies, then the extra ones
-    counts = {r["k"]: r for r in ranked.groupBy("k", "full").agg(F.count("*").alias("n"), F.count_if(F.col("extra") > 0).alias("extra")).toArrow().to_pylist()}
+    # of the blocks in their permuted order: those within the rest give one copy more, the EDGE after them as many documents as still fit
+    whole = Window.partitionBy("k")
+    inside = F.col("upto") <= F.col("rest")
+    ranked = ranked.withColumns({"done": F.coalesce(F.max(F.when(inside, F.col("upto"))).over(whole), F.lit(0)), "full_blocks": F.count(F.when(inside, 1)).over(whole)})
+    ranked = ranked.withColumn("extra", F.when(inside, 2).when((F.col("rest") > F.col("done")) & (F.col("rank") < F.col("full_blocks") + max(EDGE, math.ceil(EDGE_DOCUMENTS / block))), 1).otherwise(0))
+    ranked = materialise(ranked.select("k", "block", "full", "rank", "extra", (F.col("rest") - F.col("done")).alias("room")), "blocks")
+
+    # units: each copy of a whole block; first all blocks' full copies, then the extra ones. Single documents go to shards by a hash
+    counts = {r["k"]: r for r in ranked.groupBy("k", "full").agg(F.count("*").alias("n"), F.count_if(F.col("extra") == 2).alias("extra")).toArrow().to_pylist()}
     quotas = np.array([counts[k]["n"] * counts[k]["full"] + counts[k]["extra"] if k in counts else 0 for k in range(len(per))], dtype=np.int64)
     held = split_quotas(quotas, shards, np.random.default_rng(seed)) if len(per) else np.zeros((shards, 0), np.int64)
     bounds = spark.createDataFrame([(k, np.cumsum(held[:, k]).tolist()) for k in range(len(per))], "k int, bounds array<long>") if plan else spark.createDataFrame([], "k int, bounds array<long>")
     sizes = spark.createDataFrame([(k, counts[k]["n"]) for k in counts], "k int, n long") if counts else spark.createDataFrame([], "k int, n long")
-    copies = F.expr("transform(sequence(0, full + if(extra > 0, 1, 0) - 1), c -> cast(c as long) * n + rank)")
+    copies = F.expr("transform(sequence(0, full + if(extra = 2, 1, 0) - 1), c -> cast(c as long) * n + rank)")
     shard = F.expr("transform(units, u -> cast(size(filter(bounds, b -> b <= u)) as int))")
     drawn = (
         ranked.join(F.broadcast(sizes), "k")
         .join(F.broadcast(bounds), "k")
-        .withColumn("units", F.when(F.expr("full + if(extra > 0, 1, 0) > 0"), copies).otherwise(F.array().cast("array<long>")))
-        .select("k", "block", "extra", "room", shard.alias("shards"))
+        .withColumn("units", F.when(F.expr("full + if(extra = 2, 1, 0) > 0"), copies).otherwise(F.array().cast("array<long>")))
+        .select("k", "block", "rank", "extra", "room", shard.alias("shards"))
     )
     joined = placed.join(drawn, ["k", "block"])
 
     def edge(t: pa.Table) -> pa.Table:
         size, room = np.asarray(t["size"]), t["room"][0].as_py()
-        # largest first: the gap that is left is less than the least document left out
-        by = np.lexsort((np.asarray(t["mark"]), -size))
+        # block by block in a seeded order; what fits into the gap is taken, so the gap ends below the least document left out
+        by = np.lexsort((size, np.asarray(t["mark"]), np.asarray(t["rank"])))
         take = np.zeros(len(size), bool)
         take[by] = fill(size[by], room)
         return t.drop_columns(["mark"]).append_column("taken_extra", pa.array(take))
 
     at_edge = joined.filter("extra = 1").withColumn("mark", F.xxhash64("id", "size", F.lit(seed + 2)))
     shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema)
-    chosen = at_edge.groupBy("k", "block").applyInArrow(edge, f"{shape}, taken_extra boolean")
+    chosen = at_edge.groupBy("k").applyInArrow(edge, f"{shape}, taken_extra boolean")
     both = joined.filter("extra <> 1").withColumn("taken_extra", F.col("extra") == 2).unionByName(chosen)
     out = both.withColumn("copies", F.col("full") + F.col("taken_extra").cast("int")).select(
         F.col("id").cast(kind).alias(id_col),
@@ -148,6 +153,6 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "target",
         (F.col("size") * F.col("copies")).alias("taken"),
         "copies",
-        F.expr(f"transform(slice(shards, 1, copies), (s, c) -> struct(s as shard, xxhash64(id, c, {seed + 3}) as order))").alias("draws"),
+        F.expr(f"transform(slice(concat(shards, array(cast(pmod(xxhash64(id, size, {seed + 4}), {shards}) as int))), 1, copies), (s, c) -> struct(s as shard, xxhash64(id, c, {seed + 3}) as order))").alias("draws"),
     )
     return out
