@@ -18,8 +18,9 @@ from kindred.shared import discard, materialise
 #: Bits of a dimension's value, and of the group's hash below it that breaks ties.
 VALUE, TIE = 20, 40
 DIGIT = 12
-#: A group above this share of a shard's target bytes may be cut, so that shards stay near equal.
-WHOLE = 0.25
+#: A group above this share of a shard's target bytes may be cut, so that shards stay near equal, into pieces of this share.
+WHOLE, PIECE = 0.25, 1 / 256
+PIECE_BITS = 16
 #: A cut is exact enough at this share of a shard's target.
 CLOSE = 1e-4
 #: Rows numbered by one task.
@@ -122,7 +123,8 @@ def kd_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_co
     # only groups above the limit are cut, each into as many pieces as needed
     sizes = rows.groupBy("body", "crc", "size").agg(F.count("*").alias("copies"))
     heavy = sizes.filter(F.col("copies") * F.col("size") > most).filter("copies > 1")
-    heavy = heavy.select("body", "crc", "size", F.ceil(F.col("copies") * F.col("size") / most).cast("int").alias("parts"))
+    pieces = F.ceil(F.col("copies") * F.col("size") / max(1.0, PIECE * total / shards))
+    heavy = heavy.select("body", "crc", "size", F.least(pieces, "copies", F.lit(1 << PIECE_BITS)).cast("int").alias("parts"))
     parted = rows.join(heavy, ["body", "crc", "size"], "left").withColumn("piece", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id", F.lit(seed)), F.col("parts"))).cast("int")).drop("parts")
     parted = materialise(parted, "parted")
     meta = [f"d{k}" for k in range(len(known))]
@@ -133,7 +135,7 @@ def kd_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_co
     count = len(meta) + 2
     ends = groups.agg(*[f(f"d{k}").alias(f"{name}{k}") for k in range(count) for name, f in (("lo", F.min), ("hi", F.max))]).first()
     # equal texts stay side by side in every order: the tie is the text's hash, then the piece
-    tie = F.shiftrightunsigned(F.xxhash64("body", "crc", F.lit(seed)), 64 - TIE + 8) * 256 + F.pmod("piece", F.lit(256))
+    tie = F.shiftrightunsigned(F.xxhash64("body", "crc", F.lit(seed)), 64 - TIE + PIECE_BITS) * (1 << PIECE_BITS) + F.col("piece")
     cols = {}
     for k in range(count):
         lo, hi = ends[f"lo{k}"] or 0.0, ends[f"hi{k}"] or 0.0
