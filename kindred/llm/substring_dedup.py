@@ -21,7 +21,7 @@ from kindred.llm.textkit import Words, cover, join_words, pieces, runs
 from kindred.shared import discard, materialise, slots_for
 
 #: Suffixes that one subtree may hold (each takes about 60 bytes while it is built).
-SUFFIXES_PER_TREE = 2_000_000
+SUFFIXES_PER_TREE = 500_000
 #: Words of a text, joined by one space, by built-in functions.
 KEPT = r"trim(regexp_replace(text, '[\\x20\\x09-\\x0D]+', ' '))"
 
