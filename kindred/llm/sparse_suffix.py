@@ -5,7 +5,7 @@
 2. The retained suffixes are sorted by their first ``depth`` words (as 64-bit hashes, in slots of the hash range); a suffix
    whose neighbours differ from it starts no repeat and goes.
 3. Matches at those left are extended: left to where a passage of ``length`` words around the suffix can start, right to its
-   end. The extensions are sorted and compared with their neighbours by 128 bits; equal ones are repeats, and those that
+   end. The extensions are sorted and compared with their neighbours by 96 bits; equal ones are repeats, and those that
    overlap in a document grow into one span.
 
 Extensions that a map chunk holds more than once travel once, so that a passage which very many documents share doesn't
@@ -29,15 +29,10 @@ from kindred.shared import materialise, slots_for
 LATER = 1 << 31
 
 
-def _spans(words: Words, mask: np.ndarray) -> list[list[dict]]:
-    out: list[list[dict]] = [[] for _ in range(words.docs)]
-    for a, b in zip(*(x.tolist() for x in runs(mask))):
-        while a < b:
-            d = int(words.doc[a])
-            low, to = int(words.first[d]), min(b, int(words.first[d + 1]))
-            out[d].append({"start": a - low, "end": to - low})
-            a = to
-    return out
+def _covered(starts: np.ndarray, length: int, total: int) -> tuple[int, list[dict]]:
+    """Words and spans covered by windows at ``starts``."""
+    low, high = runs(cover(np.unique(starts), length, total))
+    return int((high - low).sum()), [{"start": a, "end": b} for a, b in zip(low.tolist(), high.tolist())]
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, reach: int = 25, gram: int = 8) -> DataFrame:
@@ -57,7 +52,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     base = keyed(docs, id_col, text_col)
     slots = slots_for(base, BYTES_PER_SLOT)
     retained = repeated_anchors(base, reach, gram, slots, depth)
-    affected = materialise(base.join(retained, ["rid", "tag"]).dropDuplicates(["rid", "tag"]), "retained")
+    n_words = F.expr(r"size(filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> ''))").cast("long")
+    affected = materialise(base.join(retained, ["rid", "tag"]).dropDuplicates(["rid", "tag"]).withColumn("n_words", n_words), "retained")
 
     def take(piece: pa.RecordBatch) -> Entries:
         words = Words(piece.column("text"))
@@ -65,7 +61,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         at = survivors(words, hashes, positions(piece.column("places"), words), reach, gram)
         at = at[words.fits(length)[at]]
         doc = words.doc[at]
-        return Entries((words.windows(hashes, length)[at], words.windows(hashes, length, second=True)[at]), doc, at - words.first[doc])
+        return Entries((words.windows(hashes, length)[at], (words.windows(hashes, length, second=True)[at] >> np.uint64(32)).astype(np.uint32)), doc, at - words.first[doc])
 
     extensions = slots_for(affected, BYTES_PER_SLOT // 16)
 
@@ -92,27 +88,18 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for piece in pieces(batches, "text"):
-            words = Words(piece.column("text"))
-            all_, late = [], []
-            for d, blobs in enumerate(piece.column("places").to_pylist()):
+        for batch in batches:
+            rows = []
+            for blobs, total in zip(batch.column("places").to_pylist(), batch.column("n_words").to_pylist()):
                 at = np.frombuffer(b"".join(blobs), "<u4")
-                all_.append(np.unique(at & np.uint32(LATER - 1)).astype(np.int64) + words.first[d])
-                late.append(np.unique(at[at >= LATER] & np.uint32(LATER - 1)).astype(np.int64) + words.first[d])
-            repeated = cover(np.concatenate(all_), length, len(words))
-            later = cover(np.concatenate(late), length, len(words))
+                mask = np.uint32(LATER - 1)
+                rows.append((*_covered((at & mask).astype(np.int64), length, total), *_covered((at[at >= LATER] & mask).astype(np.int64), length, total)))
+            n, spans, n_late, late = zip(*rows) if rows else ((), (), (), ())
             yield pa.record_batch(
-                [
-                    piece.column("rid"),
-                    pa.array(words.count, pa.int64()),
-                    pa.array(np.bincount(words.doc[repeated], minlength=words.docs), pa.int64()),
-                    pa.array(np.bincount(words.doc[later], minlength=words.docs), pa.int64()),
-                    pa.array(_spans(words, repeated), kind),
-                    pa.array(_spans(words, later), kind),
-                ],
+                [batch.column("rid"), batch.column("n_words"), pa.array(n, pa.int64()), pa.array(n_late, pa.int64()), pa.array(spans, kind), pa.array(late, kind)],
                 names=["rid", "n_words", "n_repeated", "n_later", "repeated", "later"],
             )
 
     spans = "array<struct<start:int,end:int>>"
-    rows = affected.drop("places").join(found, ["rid", "tag"]).mapInArrow(grow, f"rid long, n_words long, n_repeated long, n_later long, repeated {spans}, later {spans}")
+    rows = affected.select("rid", "tag", "n_words").join(found, ["rid", "tag"]).mapInArrow(grow, f"rid long, n_words long, n_repeated long, n_later long, repeated {spans}, later {spans}")
     return rows.select(F.when(F.col("rid") != -(1 << 63), F.col("rid")).cast(docs.schema[id_col].dataType).alias(id_col), "n_words", "n_repeated", "n_later", "repeated", "later")
