@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.textkit import NEVER, Words, deltas, minimisers, pack, pieces, raw, sliding, slots_of, undeltas, unpack
+from kindred.llm.textkit import NEVER, Words, deltas, minimisers, mix, pack, pieces, raw, sliding, slots_of, undeltas, unpack
 
 #: What keyed() makes; a null id is the least id, a null text is empty.
 KEYED = "rid long, tag int, text string"
 #: Entries that a map task gathers before it emits them.
 FLUSH = 1_500_000
-BYTES_PER_SLOT = 24 << 20
+BYTES_PER_SLOT = 8 << 20
 _EXCHANGE = pa.schema([("slot", pa.int64()), ("rid", pa.int64()), ("tag", pa.int32()), ("blob", pa.binary())])
 EXCHANGE = "slot long, rid long, tag int, blob binary"
 PLACES = "rid long, tag int, blob binary"
@@ -173,7 +173,8 @@ def repeated_anchors(docs: DataFrame, window: int, gram: int, slots: int, depth:
             grams, chosen = words.windows(hashes, depth), chosen & words.fits(depth)
         at = np.flatnonzero(chosen)
         doc = words.doc[at]
-        return Entries((grams[at],), doc, at - words.first[doc])
+        # the hash of a minimiser is a small one; mixed again, hashes fill all slots alike
+        return Entries((mix(grams[at]),), doc, at - words.first[doc])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from chunked(batches, take, lambda h: slots_of(h, slots), slots, True)

@@ -63,7 +63,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         doc = words.doc[at]
         return Entries((words.windows(hashes, length)[at], (words.windows(hashes, length, second=True)[at] >> np.uint64(32)).astype(np.uint32)), doc, at - words.first[doc])
 
-    extensions = slots_for(affected, BYTES_PER_SLOT // 16)
+    extensions = slots_for(affected, BYTES_PER_SLOT // 5)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in chunked(batches, take, lambda h: slots_of(h, extensions), extensions, False):
