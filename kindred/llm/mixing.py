@@ -2,7 +2,8 @@
 
 Each source gets a target share of the mix; a target above what the source may repeat is cut there and the excess shared
 out again by weight. A source's documents fall into blocks by a seeded hash, its blocks stand in a seeded permutation, and
-the first of them that fill the target are drawn; the few blocks at the edge give single documents. The exact number of drawn
+each that still fits into the target is drawn; the first few that don't give single documents in a seeded order, and what gap is
+then left is closed from all the others, by counts of sizes, until it is below the least document left out. The exact number of drawn
 blocks per source is then split among the output shards: the root holds all quotas, each half of the shards gets a
 multivariate-hypergeometric share of its parent's, down to single shards. A shard takes the next disjoint run of each
 source's permuted blocks, and its documents are shuffled within it by a seeded hash.
@@ -22,7 +23,7 @@ from kindred.shared import discard, materialise
 #: Documents of a block, up to the point where a source has MOST_BLOCKS.
 BLOCK = 64
 MOST_BLOCKS = 1 << 16
-#: Blocks after the last whole one that give single documents, and about how many documents these hold at least.
+#: The first blocks that don't fit, which give single documents in a seeded order, and about how many documents these hold at least.
 EDGE, EDGE_DOCUMENTS = 8, 512
 #: Sources that the driver plans for.
 MOST_SOURCES = 100_000
@@ -80,8 +81,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sizes and ``seed`` alone, so reruns agree.
 
     Null texts and texts without words have size 0 and are taken with their block, for 0 words. A null source is a source
-    of its own, the last. Rows with null or equal ids are drawn together, each for its own size. Other columns are ignored.
-    An empty table gives an empty result.
+    of its own, the last. Rows with null or equal ids are drawn by their sizes and texts. Other columns are ignored.
+    What a source's target lacks at the end is below each of its documents that has a copy less. An empty table gives an
+    empty result.
     """
     if int(most) != most or most < 1:
         raise ValueError("most must be a whole number of copies")
@@ -103,19 +105,29 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     fields = "k int, source string, source_size long, target double, full int, rest long, blocks int"
     sources = spark.createDataFrame(plan, fields) if plan else spark.createDataFrame([], fields)
-    # the hash of id and size spreads rows of one id over as many blocks as they have sizes
+    # the hash of id, size and text spreads rows of one id over the blocks
     placed = rows.join(F.broadcast(sources), rows["source"].eqNullSafe(sources["source"])).select(
-        "id", "tag", "size", "k", "source_size", "target", "full", "rest", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks")).alias("block")
+        "id", "tag", "size", "k", "source_size", "target", "full", "rest", F.pmod(F.xxhash64("id", "size", "tag", F.lit(seed)), F.col("blocks")).alias("block")
     )
-    totals = placed.groupBy("k", "block", "full", "rest").agg(F.sum("size").alias("words"))
+    totals = placed.groupBy("k", "block", "full", "rest").agg(F.sum("size").alias("words"), F.coalesce(F.min(F.when(F.col("size") > 0, F.col("size"))), F.lit(0)).alias("least"))
     order = Window.partitionBy("k").orderBy(F.xxhash64("k", "block", F.lit(seed + 1)), "block")
-    ranked = totals.withColumns({"rank": F.row_number().over(order) - 1, "upto": F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    # of the blocks in their permuted order: those within the rest give one copy more, the EDGE after them as many documents as still fit
-    whole = Window.partitionBy("k")
-    inside = F.col("upto") <= F.col("rest")
-    ranked = ranked.withColumns({"done": F.coalesce(F.max(F.when(inside, F.col("upto"))).over(whole), F.lit(0)), "full_blocks": F.count(F.when(inside, 1)).over(whole)})
-    ranked = ranked.withColumn("extra", F.when(inside, 2).when((F.col("rest") > F.col("done")) & (F.col("rank") < F.col("full_blocks") + max(EDGE, math.ceil(EDGE_DOCUMENTS / block))), 1).otherwise(0))
-    ranked = materialise(ranked.select("k", "block", "full", "rank", "extra", (F.col("rest") - F.col("done")).alias("room")), "blocks")
+    edges = max(EDGE, math.ceil(EDGE_DOCUMENTS / block))
+
+    def whole(t: pa.Table) -> pa.Table:
+        # of the blocks in their permuted order: each that still fits into the rest gives one copy more, the first others with a document that fits as many documents
+        t = t.sort_by("rank")
+        words, least, full, rest = np.asarray(t["words"]), np.asarray(t["least"]), t["full"][0].as_py(), t["rest"][0].as_py()
+        take = fill(words, rest) if full < most else np.zeros(len(words), bool)
+        room = rest - int(words[take].sum())
+        edge = ~take & (words > 0) & (least <= room)
+        edge &= np.cumsum(edge) <= edges
+        # drawn blocks come first, so that the units of the extra copies have no gaps
+        rank = np.empty(len(take), np.int32)
+        rank[np.argsort(~take, kind="stable")] = np.arange(len(take))
+        return t.select(["k", "block", "full"]).append_column("rank", pa.array(rank)).append_column("extra", pa.array(np.where(take, 2, edge), pa.int32())).append_column("room", pa.array(np.full(len(words), room), pa.int64()))
+
+    ranked = totals.withColumn("rank", F.row_number().over(order) - 1)
+    ranked = materialise(ranked.groupBy("k").applyInArrow(whole, "k int, block long, full int, rank int, extra int, room long"), "blocks")
 
     # units: each copy of a whole block; first all blocks' full copies, then the extra ones. Single documents go to shards by a hash
     counts = {r["k"]: r for r in ranked.groupBy("k", "full").agg(F.count("*").alias("n"), F.count_if(F.col("extra") == 2).alias("extra")).toArrow().to_pylist()}
@@ -133,18 +145,31 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     joined = placed.join(drawn, ["k", "block"])
 
-    def edge(t: pa.Table) -> pa.Table:
-        size, room = np.asarray(t["size"]), t["room"][0].as_py()
-        # block by block in a seeded order; what fits into the gap is taken, so the gap ends below the least document left out
-        by = np.lexsort((size, np.asarray(t["mark"]), np.asarray(t["rank"])))
-        take = np.zeros(len(size), bool)
-        take[by] = fill(size[by], room)
-        return t.drop_columns(["mark"]).append_column("taken_extra", pa.array(take))
-
-    at_edge = joined.filter("extra = 1").withColumn("mark", F.xxhash64("id", "size", F.lit(seed + 2)))
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema)
-    chosen = at_edge.groupBy("k").applyInArrow(edge, f"{shape}, taken_extra boolean")
-    both = joined.filter("extra <> 1").withColumn("taken_extra", F.col("extra") == 2).unionByName(chosen)
+    # at the edge, block by block in a seeded order, the first documents that fill the room
+    single = joined.filter("extra <> 2").withColumn("mark", F.xxhash64("id", "size", "tag", F.lit(seed + 2)))
+    fits = F.col("size") <= F.col("room")
+    line = Window.partitionBy("k").orderBy("rank", "mark", "size", "id").rowsBetween(Window.unboundedPreceding, 0)
+    at_edge = single.filter("extra = 1").withColumn("upto", F.sum(F.when(fits, F.col("size")).otherwise(0)).over(line))
+    at_edge = materialise(at_edge.withColumn("taken_extra", fits & ((F.col("upto") <= F.col("room")) | (F.col("size") == 0))).drop("upto"), "edge")
+    gaps = at_edge.groupBy("k", "room").agg(F.sum(F.when(F.col("taken_extra"), F.col("size")).otherwise(0)).alias("held")).select("k", (F.col("room") - F.col("held")).alias("gap"))
+    # all documents that are left, counted by size: the greatest that fit first, so no document that fits is out of reach
+    idle = at_edge.filter(~F.col("taken_extra")).drop("taken_extra").unionByName(single.filter("extra = 0"))
+
+    def close(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("size", "descending")])
+        gap, picks = t["gap"][0].as_py(), []
+        for size, n in zip(t["size"].to_pylist(), t["n"].to_pylist()):
+            picks.append(min(n, gap // size))
+            gap -= picks[-1] * size
+        return t.select(["k", "size"]).append_column("pick", pa.array(picks, pa.int64()))
+
+    counted = idle.join(F.broadcast(gaps), "k").filter("size > 0 and size <= gap").groupBy("k", "size", "gap").agg(F.count("*").alias("n"))
+    picks = materialise(counted.groupBy("k").applyInArrow(close, "k int, size long, pick long").filter("pick > 0"), "picks")
+    left = idle.join(F.broadcast(picks), ["k", "size"], "left")
+    alike = Window.partitionBy("k", "size").orderBy("mark", "id")
+    closing = left.filter("pick is not null").withColumn("taken_extra", F.row_number().over(alike) <= F.col("pick"))
+    both = joined.filter("extra = 2").withColumn("taken_extra", F.lit(True)).unionByName(at_edge.filter("taken_extra").drop("mark"))
+    both = both.unionByName(left.filter("pick is null").withColumn("taken_extra", F.lit(False)).drop("mark", "pick")).unionByName(closing.drop("mark", "pick"))
     out = both.withColumn("copies", F.col("full") + F.col("taken_extra").cast("int")).select(
         F.col("id").cast(kind).alias(id_col),
         "tag",

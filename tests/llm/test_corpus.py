@@ -67,6 +67,18 @@ def test_mix(sized, block):
         assert max(shards.values()) < 1.3 * min(shards.values())
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mix_reaches_every_block(spark, seed):
+    """Two fifths of the words in one document, and rows without an id: the gap still ends below the least document left out."""
+    rng = random.Random(seed)
+    sizes = [rng.randrange(5, 40) for _ in range(4000)]
+    rows = [(None if k % 50 == 0 else k, " ".join([f"w{k}"] * n)) for k, n in enumerate(sizes)] + [(9000, "w " * (sum(sizes) * 2 // 3))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s")).repartition(4)
+    got = mix_sources(df, share=0.5, seed=seed).collect()
+    gap = got[0].target - sum(r.taken for r in got)
+    assert len(got) == len(rows) and -1 < gap < min(r.size for r in got if not r.copies) + 1
+
+
 def test_mix_odd(odd_docs, no_docs):
     got = mix_sources(odd_docs)
     assert got.count() == odd_docs.count() and mix_sources(no_docs).count() == 0
