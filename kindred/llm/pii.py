@@ -148,13 +148,13 @@ def term_hashes(terms: list[str]) -> np.ndarray:
     return w.hashes()
 
 
-def disclosing_terms(base: DataFrame, found: DataFrame, support: int, confidence: float, at_least: float) -> DataFrame | None:
+def disclosing_terms(base: DataFrame, found: DataFrame, support: int, at_least: float) -> DataFrame | None:
     """(term, disclosure): terms near recurring entities that disclose one of them; None if no entity recurs."""
     mentions = found.select(F.explode("mentions").alias("m")).select("m.entity", "m.context", "m.terms").dropDuplicates(["entity", "context"])
     entities = mentions.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= support)
     near = mentions.join(entities, "entity").select("entity", "n_entity", F.explode("terms").alias("term"))
     pairs = near.groupBy("entity", "n_entity", "term").agg(F.count("*").alias("c"))
-    pairs = materialise(pairs.filter((F.col("c") >= support) & (F.col("c") >= confidence * F.col("n_entity"))), "pairs")
+    pairs = materialise(pairs.filter(F.col("c") >= support), "pairs")
     spark = base.sparkSession
     # words within a term (it-self) would need more than one hash: only whole words are terms
     names = pairs.filter(~F.col("term").rlike(r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]")).select("term").distinct()
@@ -175,7 +175,7 @@ def disclosing_terms(base: DataFrame, found: DataFrame, support: int, confidence
     return materialise(scored.filter(F.col("disclosure") >= at_least).groupBy("term", "hash").agg(F.max("disclosure").alias("disclosure")), "disclosing")
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 12, support: int = 3, confidence: float = 0.5, generalise_at: float = 0.7, remove_at: float = 0.9) -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 12, support: int = 3, generalise_at: float = 0.7, remove_at: float = 0.9) -> DataFrame:
     """Finds personal data and the terms that reveal it, in every document.
 
     Returns one row per row of ``docs``: rid and tag (its key: id and a hash of the text), the id, and spans: (start, end, kind, action)
@@ -201,7 +201,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.record_batch([piece.column("rid"), piece.column("tag"), pa.array(spans, kind), pa.array(mentions, seen)], names=["rid", "tag", "spans", "mentions"])
 
     found = materialise(base.mapInArrow(scan, f"rid long, tag int, {SPANS}, {MENTIONS}"), "mentions")
-    terms = disclosing_terms(base, found.filter("size(mentions) > 0"), support, confidence, generalise_at)
+    terms = disclosing_terms(base, found.filter("size(mentions) > 0"), support, generalise_at)
     plain = found.select("rid", "tag", F.expr("transform(spans, s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind, 'action', 'replace'))").alias("spans"))
     if terms is not None and (rows := terms.select("hash", "disclosure").toArrow()).num_rows:
         plain = _with_terms(base, plain, rows, remove_at)

@@ -63,6 +63,22 @@ def test_terms_that_reveal(spark):
     assert clean[501] is None and clean[502] == "" and clean[200] == dict(rows)[200]
 
 
+def _term_spans(spark, rows):
+    """Per document the removed terms, as they stand there."""
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    text = dict(rows)
+    return {r.doc_id: [text[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "term" and s.action == "remove"] for r in pii.personal_data(df).collect()}
+
+
+def test_terms_in_a_minor_part_of_the_contexts(spark):
+    rng = random.Random(9)
+    fill = lambda n: " ".join(f"filler{rng.randrange(90)}" for _ in range(n))
+    rows = [(k, f"{fill(10)} {'zorblax ' if k < 8 else ''}boss@corp.example.com {fill(10)}") for k in range(24)]
+    rows += [(200 + k, fill(60)) for k in range(400)]
+    got = _term_spans(spark, rows)
+    assert all(got[d] == (["zorblax"] if d < 8 else []) for d, _ in rows)
+
+
 def test_pii_odd(odd_docs, no_docs):
     assert pii.personal_data(odd_docs).count() == odd_docs.count()
     assert pii.personal_data(no_docs).count() == 0
