@@ -6,8 +6,8 @@ information of the two over the information content of e,
 
     disclosure(e, t) = log(c(e, t) N / (n(e) n(t))) / log(N / n(e)),
 
-with N documents, n(t) of them holding t, n(e) contexts of e and c(e, t) of those holding t. Contexts are told apart by the words
-next to the mention, so copies of a document count once. A term whose disclosure exceeds the threshold for an entity, with
+with N documents, n(t) of them holding t, n(e) that mention e and c(e, t) of those holding t near a mention. Mentions between the same
+words, as far as terms are taken, count for the document of least key among theirs, so copies count once. A term whose disclosure exceeds the threshold for an entity, with
 enough support, is removed (threshold ``remove_at``) or generalised (``generalise_at``) wherever it stands.
 """
 
@@ -105,18 +105,19 @@ MENTIONS = "mentions array<struct<entity:long,context:long,terms:array<string>>>
 
 
 def _mentions(text: str, spans: list[tuple[int, int, str]], reach: int) -> list[dict]:
+    import bisect
+
     words = [(m.start(), m.end()) for m in WORD.finditer(text)]
-    ends = [e for _, e in words]
+    starts, ends = [s for s, _ in words], [e for _, e in words]
     out = []
-    import bisect
 
     for a, b, kind in spans:
         value = text[a:b].lower() if kind == "email" else "".join(c for c in text[a:b] if c.isdigit() or (kind == "ip" and c == "."))
-        low, high = bisect.bisect_right(ends, a), bisect.bisect_left([s for s, _ in words], b)
+        low, high = bisect.bisect_right(ends, a), bisect.bisect_left(starts, b)
         before = [text[s:e] for s, e in words[max(0, low - reach) : low]]
         after = [text[s:e] for s, e in words[high : high + reach]]
         near = {t for w in before + after if len(t := term_of(w)) > 3 and not any(c.isdigit() or c == "@" for c in t)}
-        out.append({"entity": _hash64(kind + ":" + value), "context": _hash64(" ".join(before[-3:] + after[:3])), "terms": sorted(near)})
+        out.append({"entity": _hash64(kind + ":" + value), "context": _hash64(" ".join(before) + "\n" + " ".join(after)), "terms": sorted(near)})
     return out
 
 
@@ -150,9 +151,11 @@ def term_hashes(terms: list[str]) -> np.ndarray:
 
 def disclosing_terms(base: DataFrame, found: DataFrame, support: int, at_least: float) -> DataFrame | None:
     """(term, disclosure): terms near recurring entities that disclose one of them; None if no entity recurs."""
-    mentions = found.select(F.explode("mentions").alias("m")).select("m.entity", "m.context", "m.terms").dropDuplicates(["entity", "context"])
-    entities = mentions.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= support)
-    near = mentions.join(entities, "entity").select("entity", "n_entity", F.explode("terms").alias("term"))
+    mentions = found.select(F.struct("rid", "tag").alias("doc"), F.explode("mentions").alias("m")).select("doc", "m.entity", "m.context", "m.terms")
+    # equal contexts have equal terms, so it doesn't matter whose are kept; those of one document are merged
+    mentions = materialise(mentions.groupBy("entity", "context").agg(F.min("doc").alias("doc"), F.min("terms").alias("terms")), "contexts")
+    entities = mentions.select("entity", "doc").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= support)
+    near = mentions.join(entities, "entity").select("entity", "n_entity", "doc", F.explode("terms").alias("term")).distinct()
     pairs = near.groupBy("entity", "n_entity", "term").agg(F.count("*").alias("c"))
     pairs = materialise(pairs.filter(F.col("c") >= support), "pairs")
     spark = base.sparkSession
@@ -182,7 +185,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     in code points, by start, then kind (email, ip, card, phone, term). Base spans have the action 'replace', terms
     'generalise' or 'remove'; a term span never overlaps a base span. ``sanitise`` applies them.
 
-    A null text has no spans. Repeated rows get the same spans and count as one context. Other columns are ignored. An empty
+    A null text has no spans. Repeated rows get the same spans and count as one document of an entity. Other columns are ignored. An empty
     table gives an empty result.
     """
     base = keyed(docs, id_col, text_col)

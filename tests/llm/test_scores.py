@@ -79,6 +79,17 @@ def test_terms_in_a_minor_part_of_the_contexts(spark):
     assert all(got[d] == (["zorblax"] if d < 8 else []) for d, _ in rows)
 
 
+def test_contexts_are_told_apart_by_document(spark):
+    rng = random.Random(10)
+    fill = lambda n: " ".join(f"filler{rng.randrange(90)}" for _ in range(n))
+    rows = [(k, f"{fill(6)} zorblax {fill(3)} please write to boss@corp.example.com for more information {fill(9)}") for k in range(6)]
+    # two mentions in one document are one
+    rows += [(100 + k, f"{fill(4)} quagmire a@b.example.com {fill(30)} quagmire a@b.example.com {fill(9)}") for k in range(2)]
+    rows += [(200 + k, fill(60)) for k in range(400)]
+    got = _term_spans(spark, rows)
+    assert all(("zorblax" in got[d]) == (d < 6) and "quagmire" not in got[d] for d, _ in rows)
+
+
 def test_pii_odd(odd_docs, no_docs):
     assert pii.personal_data(odd_docs).count() == odd_docs.count()
     assert pii.personal_data(no_docs).count() == 0
