@@ -7,7 +7,9 @@ information of the two over the information content of e,
     disclosure(e, t) = log(c(e, t) N / (n(e) n(t))) / log(N / n(e)),
 
 with N documents, n(t) of them holding t, n(e) that mention e and c(e, t) of those holding t near a mention. Mentions between the same
-words, as far as terms are taken, count for the document of least key among theirs, so copies count once. A term whose disclosure exceeds the threshold for an entity, with
+words, as far as terms are taken, count for the document of least key among theirs, so copies count once. Terms are the words
+without ASCII punctuation at their ends, of any length and with any characters, and the parts of a word between ASCII punctuation;
+words that overlap a base span are none. A term whose disclosure exceeds the threshold for an entity, with
 enough support, is removed (threshold ``remove_at``) or generalised (``generalise_at``) wherever it stands.
 """
 
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.anchors import keyed
-from kindred.llm.textkit import LOWER, Words, pieces, raw
+from kindred.llm.textkit import LOWER, Words, hash_ranges, pieces, raw
 from kindred.shared import materialise
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -33,12 +35,16 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_LOWER = {c: c + 32 for c in range(65, 91)}
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Terms that one scan looks for at once (8 bytes each, captured by the task).
 BLOCK = 1_000_000
-#: Letters at either end of a word that belong to no term.
+#: Bytes that part the terms within a word, as spaces; and those that begin and end a term.
 _FOLD = LOWER.copy()
 _FOLD[[b for b in range(33, 127) if chr(b) in EDGE]] = 0x20
+_PLAIN = np.ones(256, bool)
+_PLAIN[[ord(c) for c in EDGE]] = False
+_INNER = re.compile(f"[{re.escape(EDGE)}]+")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -83,9 +89,32 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, KINDS[k]) for a, b, k in found]
 
 
-def term_of(word: str) -> str:
-    """The term that a word stands for: A-Z lower-cased, without ASCII punctuation at its ends."""
-    return word.strip(EDGE).translate({c: c + 32 for c in range(65, 91)})
+def terms_of(word: str) -> list[str]:
+    """The terms that a word stands for, A-Z lower-cased: the word without ASCII punctuation at its ends, and its parts between inner punctuation."""
+    whole = word.strip(EDGE).translate(_LOWER)
+    parts = _INNER.split(whole)
+    return [whole, *parts] if len(parts) > 1 else parts if whole else []
+
+
+class Terms:
+    """Terms of the documents of one array: byte ``start`` and ``end``, document ``doc``; the first ``whole`` are words, the others parts of the word ``of``."""
+
+    def __init__(self, array: pa.Array):
+        words, parts = Words(array, LOWER), Words(array, _FOLD)
+        self.data, self.offsets, self.docs = words.data, words.offsets, words.docs
+        plain = np.flatnonzero(_PLAIN[words.data])
+        low, high = np.searchsorted(plain, words.start), np.searchsorted(plain, words.end)
+        any_ = high > low
+        start, end = plain[low[any_]], plain[high[any_] - 1] + 1
+        of = np.searchsorted(start, parts.start, side="right") - 1
+        part = (parts.start != start[of]) | (parts.end != end[of]) if len(of) else np.zeros(0, bool)
+        self.whole = len(start)
+        self.start, self.end = np.concatenate((start, parts.start[part])), np.concatenate((end, parts.end[part]))
+        self.doc, self.of = np.concatenate((words.doc[any_], parts.doc[part])), np.concatenate((np.arange(len(start)), of[part]))
+
+    def hashes(self) -> np.ndarray:
+        n = self.whole
+        return np.concatenate((hash_ranges(self.data, self.start[:n], self.end[:n]), hash_ranges(self.data, self.start[n:], self.end[n:])))
 
 
 def _hash64(s: str) -> int:
@@ -109,6 +138,8 @@ def _mentions(text: str, spans: list[tuple[int, int, str]], reach: int) -> list[
 
     words = [(m.start(), m.end()) for m in WORD.finditer(text)]
     starts, ends = [s for s, _ in words], [e for _, e in words]
+    # words that a base span overlaps are replaced anyway
+    taken = {k for a, b, _ in spans for k in range(bisect.bisect_right(ends, a), bisect.bisect_left(starts, b))}
     out = []
 
     for a, b, kind in spans:
@@ -116,7 +147,7 @@ def _mentions(text: str, spans: list[tuple[int, int, str]], reach: int) -> list[
         low, high = bisect.bisect_right(ends, a), bisect.bisect_left(starts, b)
         before = [text[s:e] for s, e in words[max(0, low - reach) : low]]
         after = [text[s:e] for s, e in words[high : high + reach]]
-        near = {t for w in before + after if len(t := term_of(w)) > 3 and not any(c.isdigit() or c == "@" for c in t)}
+        near = {t for k in (*range(max(0, low - reach), low), *range(high, min(len(words), high + reach))) if k not in taken for t in terms_of(text[words[k][0] : words[k][1]])}
         out.append({"entity": _hash64(kind + ":" + value), "context": _hash64(" ".join(before) + "\n" + " ".join(after)), "terms": sorted(near)})
     return out
 
@@ -129,7 +160,7 @@ def _frequencies(base: DataFrame, hashes: np.ndarray) -> DataFrame:
 
         def count(batches: Iterator[pa.RecordBatch], wanted: np.ndarray = wanted) -> Iterator[pa.RecordBatch]:
             for piece in pieces(batches, "text"):
-                words = Words(piece.column("text"), _FOLD)
+                words = Terms(piece.column("text"))
                 own = words.hashes()
                 at = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
                 hit = np.flatnonzero(wanted[at] == own)
@@ -143,8 +174,8 @@ def _frequencies(base: DataFrame, hashes: np.ndarray) -> DataFrame:
 
 
 def term_hashes(terms: list[str]) -> np.ndarray:
-    """The hash that Words gives each term."""
-    w = Words(pa.array(terms, pa.string()), _FOLD)
+    """The hash that Terms gives each term."""
+    w = Words(pa.array(terms, pa.string()), LOWER)
     assert len(w) == len(terms)
     return w.hashes()
 
@@ -159,8 +190,7 @@ def disclosing_terms(base: DataFrame, found: DataFrame, support: int, at_least:
     pairs = near.groupBy("entity", "n_entity", "term").agg(F.count("*").alias("c"))
     pairs = materialise(pairs.filter(F.col("c") >= support), "pairs")
     spark = base.sparkSession
-    # words within a term (it-self) would need more than one hash: only whole words are terms
-    names = pairs.filter(~F.col("term").rlike(r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]")).select("term").distinct()
+    names = pairs.select("term").distinct()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -220,10 +250,12 @@ def _with_terms(base: DataFrame, plain: DataFrame, rows: pa.Table, remove_at: fl
         def spot(batches: Iterator[pa.RecordBatch], wanted: np.ndarray = hashes[k : k + BLOCK], ratio: np.ndarray = ratio[k : k + BLOCK]) -> Iterator[pa.RecordBatch]:
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("action", pa.string())]))
             for piece in pieces(batches, "text"):
-                words = Words(piece.column("text"), _FOLD)
+                words = Terms(piece.column("text"))
                 own = words.hashes()
                 at = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
                 hit = np.flatnonzero(wanted[at] == own)
+                # a part of a word that is itself a term is none
+                hit = hit[(hit < words.whole) | ~np.isin(words.of[hit], hit[hit < words.whole])]
                 points = np.concatenate(([0], np.cumsum((words.data & 0xC0) != 0x80)))
                 low = points[words.offsets[:-1]]
                 spans: dict[int, list] = {}
@@ -234,8 +266,11 @@ def _with_terms(base: DataFrame, plain: DataFrame, rows: pa.Table, remove_at: fl
                 yield pa.record_batch([piece.column("rid").take(rows), piece.column("tag").take(rows), pa.array(list(spans.values()), kind)], names=["rid", "tag", "more"])
 
         spotted = base.mapInArrow(spot, "rid long, tag int, more array<struct<start:int,end:int,kind:string,action:string>>").dropDuplicates(["rid", "tag"])
-        free = "filter(coalesce(more, array()), m -> not exists(spans, s -> m.start < s.end and s.start < m.end))"
+        free = "filter(coalesce(more, array()), m -> not exists(spans, s -> s.kind <> 'term' and m.start < s.end and s.start < m.end))"
         out = out.join(spotted, ["rid", "tag"], "left").withColumn("spans", F.expr(f"array_sort(concat(spans, {free}))")).drop("more")
+    if len(hashes) > BLOCK:  # a word and its part may have been found by different scans
+        held = "exists(spans, o -> o.kind = 'term' and o.start <= s.start and s.end <= o.end and s.end - s.start < o.end - o.start)"
+        out = out.withColumn("spans", F.expr(f"filter(spans, s -> s.kind <> 'term' or not {held})"))
     return out
 
 

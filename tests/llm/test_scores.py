@@ -90,6 +90,33 @@ def test_contexts_are_told_apart_by_document(spark):
     assert all(("zorblax" in got[d]) == (d < 6) and "quagmire" not in got[d] for d, _ in rows)
 
 
+def test_terms_of_any_kind(spark):
+    rng = random.Random(12)
+    fill = lambda n: " ".join(f"filler{rng.randrange(90)}" for _ in range(n))
+    names = ["Lee", "李", "QX-7041", "AB12345", "Smith-Jones", "O'Brien", "user_name", "db1.corp.example"]
+    rows = [(10 * k + j, f"{fill(9)} ({name}), {fill(2)} boss{k}@corp.example.com {fill(9)}") for k, name in enumerate(names) for j in range(4)]
+    rows += [(200 + k, fill(60)) for k in range(400)] + [(900, "Is it LEE's?"), (901, "--smith-jones--"), (902, "smith jonesy"), (903, "!? . --")]
+    got = _term_spans(spark, rows)
+    assert all(name in got[10 * k + j] for k, name in enumerate(names) for j in range(4))
+    assert got[900] == ["LEE"] and got[901] == ["smith-jones"] and "jonesy" not in got[902] and not got[903]
+    assert all(not got[200 + k] for k in range(400))
+
+
+def test_terms_match_the_words(spark):
+    import pyarrow as pa
+
+    rng = random.Random(13)
+    texts = ["".join(rng.choice("abZ-'. é李7") for _ in range(rng.randrange(30))) for _ in range(500)]
+    found = pii.Terms(pa.array(texts))
+    held = defaultdict(Counter)
+    for s, e, d in zip(found.start.tolist(), found.end.tolist(), found.doc.tolist()):
+        held[d][found.data[s:e].tobytes().decode()] += 1
+    want = [[t for w in WORD.findall(text) for t in pii.terms_of(w)] for text in texts]
+    assert [held[k] for k in range(len(texts))] == [Counter(w) for w in want]
+    flat = {t for w in want for t in w}
+    assert set(found.hashes().tolist()) == set(pii.term_hashes(sorted(flat)).tolist())
+
+
 def test_pii_odd(odd_docs, no_docs):
     assert pii.personal_data(odd_docs).count() == odd_docs.count()
     assert pii.personal_data(no_docs).count() == 0
