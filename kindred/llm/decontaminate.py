@@ -4,7 +4,7 @@ Scores are BM25 of a passage's distinct terms against an item, over the item's s
 (0, 1] serves items of any length. Items stand in blocks of alike ones. A passage goes through three bounds: the sum of its terms'
 greatest impacts on any item, then the sums of their greatest impacts on any item of a block, then the exact scores in the blocks
 that are left. No passage or item at or above the threshold is lost. What is retrieved is verified: shares of the question's and
-of the answer's word grams that stand in the document around the passage.
+of the answer's word grams that stand in the document around the passage, or else of their words without edits.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ FOUND = "rid long, tag int, item long, score double, passages int, question doub
 class Item:
     """A test item: its id, and the word hashes of its question and its answer."""
 
-    id: int
+    id: int | None
     question: np.ndarray
     answer: np.ndarray
 
@@ -147,6 +147,48 @@ def overlap(part: np.ndarray, region: np.ndarray, gram: int) -> float:
     return float(np.isin(_grams(part, n), _grams(region, n)).mean()) if n else 1.0
 
 
+def edits(part: np.ndarray, region: np.ndarray, most: int) -> int:
+    """Least number of words changed, left out or put in between the part and any run of the region's words; most + 1 for more."""
+    if not len(part) or int((~np.isin(part, region)).sum()) > most:
+        return min(len(part), most + 1)
+    steps = np.arange(len(region) + 1)
+    row = np.zeros(len(region) + 1, np.int64)
+    for word in part:
+        below = row + 1
+        below[1:] = np.minimum(below[1:], row[:-1] + (region != word))
+        row = np.minimum.accumulate(below - steps) + steps
+    return min(int(row.min()), most + 1)
+
+
+def shares(item: Item, region: np.ndarray, verify: float, gram: int) -> tuple[float, float, bool]:
+    """Shares of the question and of the answer that stand in the region, and whether the item does.
+
+    A part's share is that of its grams, or if this is below ``verify``, of its words without edits. A part so short that one edit takes
+    it below ``verify`` may have one edit, if the other part holds and both stand together with no further one.
+    """
+    parts = (item.question, item.answer)
+    out, held, wrong = [], [], []
+    for part in parts:
+        share, n = overlap(part, region, gram), None
+        if share < verify:
+            n = edits(part, region, int((1 - verify) * len(part) + 1e-9))
+            share = max(share, 1 - n / len(part))
+        out.append(share)
+        held.append(share >= verify)
+        wrong.append(n)
+    if not all(held) and any(held):
+        other = held.index(True)
+        short = parts[1 - other]
+        if 1 > (1 - verify) * len(short) + 1e-9:
+            n = wrong[other]
+            if n is None:
+                n = edits(parts[other], region, len(parts[other]))
+            if edits(np.concatenate(parts), region, n + 1) <= n + 1:
+                out[1 - other] = max(out[1 - other], 1 - 1 / len(short))
+                return out[0], out[1], True
+    return out[0], out[1], all(held)
+
+
 def batched(rows: Iterator[tuple[int, str]], segments: int, words: int) -> Iterator[list[tuple[Item, np.ndarray]]]:
     """Items in segments of at most STRIDE words, as many together as one index may hold; one empty batch for no items."""
     held: list[tuple[Item, np.ndarray]] = []
@@ -167,7 +209,7 @@ def batched(rows: Iterator[tuple[int, str]], segments: int, words: int) -> Itera
 
 
 def indexes(benchmark: DataFrame, item_col: str, item_text_col: str, segments: int, words: int) -> Iterator[Index]:
-    rows = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("id"), F.col(f"`{item_text_col}`").alias("text")).dropna().orderBy("id", "text").toLocalIterator()
+    rows = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("id"), F.col(f"`{item_text_col}`").alias("text")).dropna(subset=["text"]).orderBy("id", "text").toLocalIterator()
     for batch in batched(((r["id"], r["text"]) for r in rows), segments, words):
         yield Index(batch)
 
@@ -194,11 +236,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """Finds the documents that hold test items.
 
     Returns one row per document and item that it holds: rid and tag (the document's key), the id, item, score (greatest among its passages), passages (how many were
-    retrieved), question and answer (shares of their ``gram``-word grams in the document there, both at least ``verify``), and
-    start and end (words from the first to the last retrieved passage). Words are compared without case (A-Z) and ASCII
+    retrieved), question and answer (shares of their ``gram``-word grams in the document there, or where these are below ``verify``, of
+    their words without edits; at least ``verify`` but for a short part with one edit, see ``shares``), and start and end (words from the first to the last retrieved passage). Words are compared without case (A-Z) and ASCII
     punctuation. Items of fewer than ``shortest`` words must stand there whole and in order.
 
-    Null and empty texts hold nothing. Null or empty items are in no document; equal items are each reported. Repeated
+    Null and empty texts hold nothing. Items with a null or empty text are in no document; equal items are each reported, those without
+    an id as one item of a null id. Repeated
     rows (same id and text) are reported once. Inverse document frequencies are those of one index; a benchmark above ``segments``
     or ``words`` is searched index by index. Other columns are ignored. Empty tables give an empty result.
     """
@@ -238,9 +281,10 @@ def find(piece: pa.RecordBatch, index: Index, threshold: float, verify: float, g
         region = hashes[a:b]
         if size < shortest:
             q = ans = overlap(np.concatenate((item.question, item.answer)), region, size)
+            there = q >= verify
         else:
-            q, ans = overlap(item.question, region, gram), overlap(item.answer, region, gram)
-        if q >= verify and ans >= verify:
+            q, ans, there = shares(item, region, verify, gram)
+        if there:
             out.append((d, item.id, min(x, 1.0), len(held), q, ans, low - int(words.first[d]), high - int(words.first[d])))
     if out:
         d, *cols = zip(*out)

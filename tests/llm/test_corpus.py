@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.llm.decontaminate import Index, Item, contaminated, drop_contaminated, hashed_words, split_item
+from kindred.llm.decontaminate import Index, Item, contaminated, drop_contaminated, edits, hashed_words, split_item
 from kindred.llm.mixing import mix_sources, split_quotas, targets
 from kindred.llm.sharding import kd_shards
 
@@ -140,6 +140,38 @@ def test_search_is_exhaustive(leaks):
         assert want <= set(got) and all(full[k] >= threshold - 1e-4 for k in got) and want
 
 
+def test_lightly_edited_items(spark):
+    rng = random.Random(14)
+    distinct = lambda name, n: [f"{name}{k}" for k in range(n)]
+    items, rows, want = [], [], set()
+    for k, answer in enumerate((1, 2, 3, 4, 5, 8, 13)):
+        q, a = distinct(f"q{k}x", 50 - answer), distinct(f"a{k}x", answer)
+        items.append((None if k == 3 else k, " ".join(q) + ". " + " ".join(a) + "."))
+        a[answer // 2] = "changed"
+        rows.append((k, words(rng, 90) + " " + " ".join(q + a) + " " + words(rng, 90)))
+        want.add((k, items[-1][0]))
+        # without its answer, or with a third of all words changed, an item isn't there
+        rows.append((100 + k, words(rng, 90) + " " + " ".join(q) + " " + words(rng, 90)) if answer > 1 else (100, ""))
+        rows.append((200 + k, " ".join("changed" if j % 3 == 0 else w for j, w in enumerate(q + a))))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item) for r in contaminated(docs, bench).collect()} == want
+    assert {r.doc_id for r in drop_contaminated(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
+
+
+def test_edits():
+    rng = random.Random(15)
+    for _ in range(300):
+        part, region = ([rng.randrange(5) for _ in range(rng.randrange(n))] for n in (7, 14))
+        row = [0] * (len(region) + 1)
+        for w in part:
+            new = [row[0] + 1]
+            for j, r in enumerate(region):
+                new.append(min(row[j] + (w != r), row[j + 1] + 1, new[j] + 1))
+            row = new
+        for most in range(len(part) + 1):
+            assert edits(np.array(part, np.uint64), np.array(region, np.uint64), most) == min(min(row), most + 1)
+
+
 def test_items():
     assert split_item("What is it? A cat.") == ("What is it?", " A cat.") and split_item("one two three four") == ("one two three", "four")
     assert split_item("") == ("", "") and split_item("word") == ("word", "")
