@@ -59,9 +59,11 @@ def views(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     lines = per(data == 10) + 1
     names = np.zeros((docs, NAMES))
     for k, column in enumerate(("lang", "source")):
-        for d, name in enumerate(piece.column(column).to_pylist()):
+        own = piece.column(column).to_pylist()
+        place = {name: NAMES // 2 * k + sum(c * pow(131, j, NAMES // 2) for j, c in enumerate(name.encode())) % (NAMES // 2) for name in set(own) if name is not None}
+        for d, name in enumerate(own):
             if name is not None:
-                names[d, NAMES // 2 * k + sum(c * 131**j for j, c in enumerate(name.encode()[:12])) % (NAMES // 2)] = 1
+                names[d, place[name]] = 1
     chars = np.array([x or 0 for x in piece.column("n_chars").to_pylist()], np.float64)
     layout = np.stack((np.log1p(np.maximum(chars, 0)), np.log1p(lines), np.log1p(size / lines), per((data >= 65) & (data <= 90)) / n, per((data >= 48) & (data <= 57)) / n, words.count / n), axis=1)
     return text.astype(np.float32), np.concatenate((np.sqrt(shares), names, layout), axis=1).astype(np.float32)

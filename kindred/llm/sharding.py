@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.operators.ordering import numbered
 from kindred.shared import discard, materialise
 
 #: Bits of a dimension's value, and of the group's hash below it that breaks ties.
@@ -27,15 +28,22 @@ CLOSE = 1e-4
 RUN = 200_000
 
 
-def _position(df: DataFrame, name: str) -> Column:
-    """An order-preserving number of a column: numbers as they are, anything else by its first six bytes; null is least."""
+def _position(df: DataFrame, name: str) -> Column | None:
+    """An order-preserving number of a column of numbers or times, null is least; None for any other, which ``_ranked`` numbers."""
     kind = df.schema[name].dataType.typeName()
     col = F.col(f"`{name}`")
     if kind in ("byte", "short", "integer", "long", "float", "double") or kind.startswith("decimal"):
         return F.coalesce(F.nanvl(col.cast("double"), F.lit(0.0)), F.lit(float("-1e18")))
     if kind in ("date", "timestamp"):
         return F.coalesce(F.unix_timestamp(col.cast("timestamp")).cast("double"), F.lit(float("-1e18")))
-    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.encode(col.cast("string"), "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double"), F.lit(-1.0))
+    return None
+
+
+def _ranked(rows: DataFrame, docs: DataFrame, name: str, column: str) -> DataFrame:
+    """``rows`` with the string ``column``, which holds the values of ``name``, as their rank among all of them; null is least."""
+    values = docs.select(F.col(f"`{name}`").cast("string").alias(column)).filter(F.col(column).isNotNull()).distinct()
+    rank = numbered(values, F.col(column), name="rank")
+    return rows.join(rank, column, "left").withColumn(column, F.coalesce(F.col("rank").cast("double"), F.lit(-1.0))).drop("rank")
 
 
 def _leaf(cuts: dict[int, tuple[int, int]]) -> Column:
@@ -99,7 +107,7 @@ def kd_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_co
     (0 on), slot (0 on without gaps in each shard, shuffled by a seeded hash) and grown_shard (null). Dimensions are ``dims``, the size
     and the id.
 
-    A null text is empty; all empty texts are equal. Null metadata are least. A group of equal texts that alone exceeds a
+    A null text is empty; all empty texts are equal. Null metadata are least; strings stand by their rank among all distinct values. A group of equal texts that alone exceeds a
     quarter of a shard's bytes is cut by a hash of its ids, as whole it would break the equal sizes. Repeated rows are rows of one
     group, each with a slot of its own. Shards may be empty where there are fewer groups than shards. An empty table gives an
     empty result. Other columns are ignored.
@@ -108,14 +116,17 @@ def kd_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_co
         raise ValueError("shards must be at least 1")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     known = [d for d in dims if d in docs.columns]
+    placed_by = {**{f"d{k}": d for k, d in enumerate(known)}, "place": id_col}
+    positions = {column: _position(docs, name) for column, name in placed_by.items()}
     rows = docs.select(
         F.col(f"`{id_col}`").alias("id"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("crc"),
         F.xxhash64(text).alias("body"),
-        *[_position(docs, d).alias(f"d{k}") for k, d in enumerate(known)],
-        _position(docs, id_col).alias("place"),
+        *[(F.col(f"`{placed_by[c]}`").cast("string") if p is None else p).alias(c) for c, p in positions.items()],
     )
+    for column in [c for c, p in positions.items() if p is None]:
+        rows = _ranked(rows, docs, placed_by[column], column)
     rows = materialise(rows, "rows")
     every = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).first()
     total, n = every["bytes"] or 0, every["n"]

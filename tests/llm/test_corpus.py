@@ -207,6 +207,18 @@ def test_shards(spark, random_docs):
     assert sorted(map(tuple, kd_shards(df.repartition(3), shards=24).collect())) == sorted(map(tuple, got))
 
 
+def test_names_with_a_common_prefix_are_told_apart(spark):
+    rows = [(f"document-{k:05}", f"text {k:05}", f"https://www.site-{k % 16:02}.example") for k in range(4800)]
+    rows[0] = (None, "text 00000", None)
+    homes, ids = defaultdict(set), defaultdict(set)
+    for r in kd_shards(spark.createDataFrame(rows, "doc_id string, text string, source string").repartition(3), shards=16).collect():
+        k = int((r.doc_id or "document-00000")[9:])
+        homes[k % 16].add(r.shard)
+        ids[r.shard].add(k // 1200)
+    # some of the four cuts go through sources, others through ids
+    assert max(map(len, homes.values())) <= 8 and max(map(len, ids.values())) < 4
+
+
 def test_a_third_of_all_rows_are_copies(spark):
     rows = [(d, "copy " * 20 if d % 3 == 0 else f"text {d} " * (d % 17), "s", "en") for d in range(3000)]
     size = Counter()

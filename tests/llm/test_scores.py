@@ -171,6 +171,16 @@ def test_line_rules_odd(odd_docs, no_docs):
 # operators 4 and 10
 
 
+def test_names_are_hashed_whole():
+    import pyarrow as pa
+
+    from kindred.llm.quality import views
+
+    source = [f"https://www.site-{k}.example" for k in range(20)]
+    piece = pa.record_batch([["a"] * 20, [None] * 20, source, [1] * 20], schema=pa.schema([("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())]))
+    _, meta = views(piece)
+    assert len({m.tobytes() for m in meta}) > 8
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(9)
