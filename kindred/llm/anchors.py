@@ -8,185 +8,161 @@ hold reaches its slot once per chunk, not once per document.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.textkit import NEVER, Words, deltas, minimisers, mix, pack, pieces, raw, sliding, slots_of, undeltas, unpack
 
-#: What keyed() makes; a null id is the least id, a null text is empty.
-KEYED = "rid long, tag int, text string"
+#: A document's key: its id, and 128 bits of its text.
+KEY = ("rid", "t1", "t2")
+KEYS = "rid long, t1 long, t2 long"
+#: The id of rows without one.
+NO_ID = -(1 << 63)
 #: Entries that a map task gathers before it emits them.
 FLUSH = 1_500_000
 BYTES_PER_SLOT = 8 << 20
-_EXCHANGE = pa.schema([("slot", pa.int64()), ("rid", pa.int64()), ("tag", pa.int32()), ("blob", pa.binary())])
-EXCHANGE = "slot long, rid long, tag int, blob binary"
-PLACES = "rid long, tag int, blob binary"
+EXCHANGE = f"slot long, {KEYS}, blob binary"
+PLACES = f"{KEYS}, blob binary"
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(rid, tag, text): rows are told apart by id and text, so that repeated rows share one fate."""
+def key_columns(id_col: str, text_col: str) -> list[Column]:
+    """rid, t1, t2 of a row: a null id is the least, a null text is empty. The second hash has another seed, so the two collide independently."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return docs.select(
-        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))).alias("rid"), F.hash(text).alias("tag"), text.alias("text")
-    )
+    return [F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("rid"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(20240229), text).alias("t2")]
 
 
-@dataclass
-class Entries:
-    """Hashed places: hash columns, and the document row and word position of each."""
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(rid, t1, t2, text): rows are told apart by id and text, so that repeated rows share one fate."""
+    return docs.select(*key_columns(id_col, text_col), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
-    hashes: tuple[np.ndarray, ...]
-    doc: np.ndarray
-    pos: np.ndarray
 
-    def __len__(self) -> int:
-        return len(self.pos)
+def named(docs: DataFrame, id_col: str) -> Column:
+    """The id of a key, as ``docs`` has it."""
+    return F.when(F.col("rid") != NO_ID, F.col("rid")).cast(docs.schema[id_col].dataType).alias(id_col)
 
 
-def first_of_each(hashes: tuple[np.ndarray, ...], order: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A sort by the hashes, then by ``order``; which sorted rows begin a run of equal hashes; which of the others differ from its first in order."""
-    by = np.lexsort((*order[::-1], *hashes[::-1]))
-    begins = np.ones(len(by), bool)
-    if len(by):
-        begins[1:] = np.logical_or.reduce([h[by][1:] != h[by][:-1] for h in hashes])
-    head = np.maximum.accumulate(np.where(begins, np.arange(len(by)), 0))
-    later = np.logical_or.reduce([o[by] != o[by][head] for o in order]) if len(by) else begins
-    return by, begins, later
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``docs`` doesn't have."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def _places(rid: np.ndarray, tag: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Positions gathered per document."""
-    by = np.lexsort((pos, tag, rid))
-    rid, tag, pos = rid[by], tag[by], pos[by].astype("<u4")
-    new = np.ones(len(rid), bool)
-    new[1:] = (rid[1:] != rid[:-1]) | (tag[1:] != tag[:-1])
-    at = np.flatnonzero(new)
-    body, edges = pos.tobytes(), [*(at * 4).tolist(), 4 * len(pos)]
-    return rid[at], tag[at], [body[a:b] for a, b in zip(edges, edges[1:])]
+def keys_of(piece: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """(3, rows): rid, t1, t2."""
+    return np.stack([np.asarray(piece.column(c)) for c in KEY]) if piece.num_rows else np.zeros((3, 0), np.int64)
 
 
-def _batch(slot: np.ndarray, rid: np.ndarray, tag: np.ndarray, blobs: list[bytes]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(slot, pa.int64()), pa.array(rid, pa.int64()), pa.array(tag, pa.int32()), pa.array(blobs, pa.binary())], schema=_EXCHANGE)
+def key_ranks(keys: np.ndarray) -> np.ndarray:
+    """Dense rank of each key, equal for equal keys, by id and then text."""
+    by = np.lexsort(keys[::-1])
+    new = np.zeros(keys.shape[1], np.int64)
+    new[1:] = (keys[:, by][:, 1:] != keys[:, by][:, :-1]).any(axis=0)
+    out = np.empty(keys.shape[1], np.int64)
+    out[by] = np.cumsum(new)
+    return out
 
 
-def emit(entries: list[Entries], rids: list[np.ndarray], tags: list[np.ndarray], slot_of: Callable[[np.ndarray], np.ndarray], slots: int, repeats_all: bool) -> Iterator[pa.RecordBatch]:
-    """Rows for one chunk: each distinct hash once, at its least place, packed per slot; places settled here at once, under slots below 0.
+def per_key(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Values gathered per key, ascending."""
+    rank = key_ranks(keys)
+    by = np.lexsort((values, rank))
+    at = np.flatnonzero(np.diff(rank[by], prepend=-1))
+    return keys[:, by[at]], np.split(values[by], at[1:]) if len(at) else []
 
-    repeats_all: whether the least place of a hash that the chunk has again is settled too (it repeats), or only the later ones.
-    Of a hash that goes to its slot, ``known`` says whether another place here has it.
-    """
-    rid, tag = np.concatenate(rids), np.concatenate(tags)
-    base = np.cumsum([0, *map(len, rids)])[:-1]
-    doc = np.concatenate([e.doc + b for e, b in zip(entries, base)])
-    pos = np.concatenate([e.pos for e in entries])
-    hashes = tuple(np.concatenate([e.hashes[k] for e in entries]) for k in range(len(entries[0].hashes)))
-    by, begins, later = first_of_each(hashes, (rid[doc], tag[doc], pos))
-    if repeats_all:
-        count = np.diff(np.append(np.flatnonzero(begins), len(by)))
-        settled = np.repeat(count > 1, count)
-        known = (count > 1).astype(np.uint8)
-    else:
-        settled = ~begins & later
-        known = np.maximum.reduceat(settled, np.flatnonzero(begins)).astype(np.uint8) if len(by) else np.zeros(0, np.uint8)
-    out = by[settled]
-    if len(out):
-        r, t, blobs = _places(rid[doc[out]], tag[doc[out]], pos[out])
-        yield _batch(-1 - (r % max(slots, 1)), r, t, blobs)
-    lead = by[begins]
-    where = slot_of(hashes[0][lead])
-    edge = np.flatnonzero(np.diff(where, prepend=-1))
-    rows, blobs = [], []
-    for a, b in zip(edge, np.append(edge[1:], len(lead))):
-        own = lead[a:b]
-        used, local = np.unique(doc[own], return_inverse=True)
-        order = np.lexsort((tag[used], rid[used]))
-        rank = np.empty(len(used), np.uint32)
-        rank[order] = np.arange(len(used), dtype=np.uint32)
-        used = used[order]
-        blobs.append(pack(deltas(hashes[0][own]), *[h[own] for h in hashes[1:]], rank[local], pos[own].astype(np.uint32), known[a:b], deltas(rid[used]), tag[used]))
-        rows.append(where[a])
-    if rows:
-        yield _batch(np.array(rows), np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int32), blobs)
-
-
-def gather(table: pa.Table, columns: int) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The entries of a slot's blobs: hashes, rid, tag, pos, known."""
-    parts = []
-    for blob in table.column("blob").to_pylist():
-        *hashes, local, pos, known, rid, tag = unpack(blob)
-        rid = undeltas(rid)
-        parts.append((undeltas(hashes[0]), *hashes[1:], rid[local], tag[local], pos, known))
-    cols = [np.concatenate(c) for c in zip(*parts)]
-    return tuple(cols[:columns]), *cols[columns:]
-
-
-def settle(table: pa.Table, columns: int, repeats_all: bool) -> pa.Table:
-    """A slot's answer: the places whose hash other places have (repeats_all), or that are not the first with it."""
-    if table.column("slot")[0].as_py() < 0:
-        return table.select(["rid", "tag", "blob"])
-    hashes, rid, tag, pos, known = gather(table, columns)
-    by, begins, later = first_of_each(hashes, (rid, tag, pos))
-    if repeats_all:
-        count = np.diff(np.append(np.flatnonzero(begins), len(by)))
-        # the least place of a hash that its own chunk had again is settled there already
-        answer = np.repeat(count > 1, count) & (known[by] == 0)
-    else:
-        answer = ~begins & later
-    out = by[answer]
-    r, t, blobs = _places(rid[out], tag[out], pos[out])
-    return pa.table([pa.array(r, pa.int64()), pa.array(t, pa.int32()), pa.array(blobs, pa.binary())], schema=pa.schema(list(_EXCHANGE)[1:]))
-
-
-def chunked(batches: Iterator[pa.RecordBatch], take: Callable[[pa.RecordBatch], Entries], slot_of: Callable, slots: int, repeats_all: bool) -> Iterator[pa.RecordBatch]:
-    """Entries of every piece of text, emitted in chunks of about FLUSH."""
-    held, rids, tags, size = [], [], [], 0
-    for piece in pieces(batches, "text"):
-        entries = take(piece)
-        held.append(entries)
-        rids.append(np.asarray(piece.column("rid")))
-        tags.append(np.asarray(piece.column("tag")))
-        size += len(entries)
-        if size >= FLUSH:
-            yield from emit(held, rids, tags, slot_of, slots, repeats_all)
-            held, rids, tags, size = [], [], [], 0
-    if size:
-        yield from emit(held, rids, tags, slot_of, slots, repeats_all)
+
+def batch(slot: np.ndarray | None, keys: np.ndarray, **more: list[bytes]) -> pa.RecordBatch:
+    cols = {} if slot is None else {"slot": pa.array(slot, pa.int64())}
+    cols |= {name: pa.array(k, pa.int64()) for name, k in zip(KEY, keys)} | {name: pa.array(v, pa.binary()) for name, v in more.items()}
+    return pa.RecordBatch.from_pydict(cols)
+
+
+def aside(keys: np.ndarray, slots: int) -> np.ndarray:
+    """Slots below 0 for what needs no comparing, spread by the whole key."""
+    return -1 - (mix((keys[0] ^ keys[1]).view(np.uint64)) % np.uint64(max(slots, 1))).astype(np.int64)
 
 
 def repeated_anchors(docs: DataFrame, window: int, gram: int, slots: int, depth: int | None = None) -> DataFrame:
-    """(rid, tag, places): of each document that has any, the positions of anchors that occur again anywhere, as uint32 blobs.
+    """(rid, t1, t2, places): of each document that has any, the positions of anchors that occur again anywhere, as uint32 blobs.
 
     An anchor is compared by its gram, or by the ``depth`` words from it on where that is given (it then needs as many).
     """
 
-    def take(piece: pa.RecordBatch) -> Entries:
-        words = Words(piece.column("text"))
-        hashes = words.hashes()
-        grams = words.windows(hashes, gram)
-        _, chosen = minimisers(grams, words.fits(window), window - gram + 1)
-        if depth is not None:
-            grams, chosen = words.windows(hashes, depth), chosen & words.fits(depth)
-        at = np.flatnonzero(chosen)
-        doc = words.doc[at]
-        # the hash of a minimiser is a small one; mixed again, hashes fill all slots alike
-        return Entries((mix(grams[at]),), doc, at - words.first[doc])
+    def emit(hashes: np.ndarray, keys: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+        place = key_ranks(keys)[doc] << 32 | pos
+        by = np.lexsort((place, hashes))
+        heads = np.flatnonzero(np.diff(hashes[by], prepend=~hashes[by[:1]]))
+        # an anchor that the chunk has twice is settled here, and so is its first place: only its other places elsewhere must learn of it
+        size = np.diff(np.append(heads, len(by)))
+        twice = np.repeat(size > 1, size)
+        if twice.any():
+            out = by[twice]
+            k, held = per_key(keys[:, doc[out]], pos[out].astype("<u4"))
+            yield batch(aside(k, slots), k, blob=[v.tobytes() for v in held])
+        lead, known = by[heads], (size > 1).astype(np.uint8)
+        where = slots_of(hashes[lead], slots)
+        edge = np.flatnonzero(np.diff(where, prepend=-1))
+        blobs = []
+        for a, b in zip(edge, np.append(edge[1:], len(lead))):
+            used, local = np.unique(doc[lead[a:b]], return_inverse=True)
+            blobs.append(pack(deltas(hashes[lead[a:b]]), local.astype(np.uint32), pos[lead[a:b]].astype(np.uint32), known[a:b], *keys[:, used]))
+        if blobs:
+            yield batch(where[edge], np.zeros((3, len(blobs)), np.int64), blob=blobs)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from chunked(batches, take, lambda h: slots_of(h, slots), slots, True)
+        held: list[tuple] = []
+        size = docs_ = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            yield from emit(*(np.concatenate(c, axis=-1) for c in zip(*held)))
+
+        for piece in pieces(batches, "text"):
+            words = Words(piece.column("text"))
+            hashes = words.hashes()
+            grams = words.windows(hashes, gram)
+            _, chosen = minimisers(grams, words.fits(window), window - gram + 1)
+            if depth is not None:
+                grams, chosen = words.windows(hashes, depth), chosen & words.fits(depth)
+            at = np.flatnonzero(chosen)
+            doc = words.doc[at]
+            # the hash of a minimiser is a small one; mixed again, hashes fill all slots alike
+            held.append((mix(grams[at]), keys_of(piece), doc + docs_, at - words.first[doc]))
+            size, docs_ = size + len(at), docs_ + piece.num_rows
+            if size >= FLUSH:
+                yield from flush()
+                held.clear()
+                size = docs_ = 0
+        if size:
+            yield from flush()
 
     def reduce(table: pa.Table) -> pa.Table:
-        return settle(table, 1, True)
+        if table.column("slot")[0].as_py() < 0:
+            return table.select([*KEY, "blob"])
+        parts = []
+        for blob in table.column("blob").to_pylist():
+            h, local, pos, known, *keys = unpack(blob)
+            parts.append((undeltas(h), pos, known, np.stack(keys)[:, local]))
+        hashes, pos, known, keys = (np.concatenate(c, axis=-1) for c in zip(*parts))
+        by = np.argsort(hashes, kind="stable")
+        heads = np.flatnonzero(np.diff(hashes[by], prepend=~hashes[by[:1]]))
+        size = np.diff(np.append(heads, len(by)))
+        out = by[np.repeat(size > 1, size) & (known[by] == 0)]
+        k, held = per_key(keys[:, out], pos[out].astype("<u4"))
+        return pa.Table.from_batches([batch(None, k, blob=[v.tobytes() for v in held])])
 
     return per_document(docs.mapInArrow(scan, EXCHANGE).groupBy("slot").applyInArrow(reduce, PLACES))
 
 
 def per_document(places: DataFrame) -> DataFrame:
-    return places.groupBy("rid", "tag").agg(F.collect_list("blob").alias("places"))
+    return places.groupBy(*KEY).agg(F.collect_list("blob").alias("places"))
 
 
 def positions(column: pa.Array, words: Words) -> np.ndarray:
@@ -198,11 +174,16 @@ def positions(column: pa.Array, words: Words) -> np.ndarray:
     return pos + np.repeat(words.first[:-1], count)
 
 
-def survivors(words: Words, hashes: np.ndarray, marked: np.ndarray, window: int, gram: int) -> np.ndarray:
-    """Starts of windows whose anchor is among the ``marked`` words: all that can occur elsewhere."""
+def survivors(words: Words, hashes: np.ndarray, marked: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of windows whose anchor is among the ``marked`` words, all that can occur elsewhere, and the first such anchor of each."""
     grams = words.windows(hashes, gram)
-    fits = words.fits(window)
     span = window - gram + 1
     seen = np.full(len(grams), NEVER)
     seen[marked] = grams[marked]
-    return np.flatnonzero(fits & (sliding(seen, span, np.minimum) == sliding(grams, span, np.minimum)))
+    least = sliding(grams, span, np.minimum)
+    at = np.flatnonzero(words.fits(window) & (sliding(seen, span, np.minimum) == least))
+    anchor = np.full(len(at), -1)
+    for k in range(span):  # from left to right, the first gram that is the window's least
+        hit = (anchor < 0) & (grams[np.minimum(at + k, len(grams) - 1)] == least[at])
+        anchor[hit] = at[hit] + k
+    return at, anchor

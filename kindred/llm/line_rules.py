@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.llm.anchors import KEY, KEYS, key_columns, named
 from kindred.llm.textkit import LOWER, SPACE, Words, cover, hash_ranges, mix, pieces
 from kindred.shared import materialise
 
@@ -23,7 +24,7 @@ _NORMAL[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 0x
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 SALTS = 16
-PROFILE = "rid long, tag int, host long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<line:long,words:int>>"
+PROFILE = f"{KEYS}, host long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<line:long,words:int>>"
 
 
 def _per_doc(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -87,8 +88,8 @@ def profile(piece: pa.RecordBatch) -> pa.RecordBatch:
     )
     columns = [words.count, _per_doc(letters, offsets), _per_doc(_SYMBOL[data], offsets), dup, np.bincount(words.doc[near], minlength=docs)]
     return pa.record_batch(
-        [piece.column("rid"), piece.column("tag"), piece.column("host"), *[pa.array(c, pa.int64()) for c in columns], lines],
-        names=["rid", "tag", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"],
+        [*[piece.column(c) for c in KEY], piece.column("host"), *[pa.array(c, pa.int64()) for c in columns], lines],
+        names=[*KEY, "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"],
     )
 
 
@@ -120,8 +121,7 @@ def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     host = F.xxhash64(F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit("\x01none")))
     base = docs.select(
-        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))).alias("rid"),
-        F.hash(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("tag"),
+        *key_columns(id_col, text_col),
         host.alias("host"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
     )
@@ -131,17 +131,17 @@ def judge_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield profile(piece)
 
     seen = materialise(base.mapInArrow(scan, PROFILE), "profiles")
-    once = seen.select("rid", "tag", "host", "lines").dropDuplicates(["rid", "tag", "host"])
+    once = seen.select(*KEY, "host", "lines").dropDuplicates([*KEY, "host"])
     limits = once.groupBy("host").agg(F.greatest(F.lit(float(least_limit)), F.count("*") * share_limit).alias("most"))
-    lines = once.select("rid", "tag", "host", F.explode("lines").alias("l")).select("rid", "tag", "host", "l.line", "l.words")
+    lines = once.select(*KEY, "host", F.explode("lines").alias("l")).select(*KEY, "host", "l.line", "l.words")
     counts = lines.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > least_limit)
     hot = counts.join(limits, "host").filter("n > most").select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = lines.withColumn("salt", F.pmod(F.hash("rid", "tag"), F.lit(SALTS)))
-    removed = salted.join(hot, ["host", "line", "salt"]).groupBy("rid", "tag", "host").agg(F.sum("words").alias("n_removed_words"))
-    out = seen.drop("lines").join(removed, ["rid", "tag", "host"], "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
+    salted = lines.withColumn("salt", F.pmod(F.hash(*KEY), F.lit(SALTS)))
+    removed = salted.join(hot, ["host", "line", "salt"]).groupBy(*KEY, "host").agg(F.sum("words").alias("n_removed_words"))
+    out = seen.drop("lines").join(removed, [*KEY, "host"], "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat * F.col("n_words"))
     left = 100 * (F.col("n_words") - F.col("n_removed_words")) >= least_left * F.col("n_words")
     return out.select(
-        F.when(F.col("rid") != -(1 << 63), F.col("rid")).cast(docs.schema[id_col].dataType).alias(id_col),
+        named(docs, id_col),
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", failed.alias("base_failed"), (~failed & left).alias("kept"),
     )

@@ -179,31 +179,26 @@ def minimisers(grams: np.ndarray, fits: np.ndarray, span: int) -> tuple[np.ndarr
     return least, (top == grams) & (top > 0)
 
 
+_KINDS = [np.dtype(k) for k in ("u1", "<u2", "<u4", "<u8", "<i4", "<i8")]
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    """Columns of integers as one small blob: bytes transposed, then zstandard."""
-    parts = [np.uint32(len(columns)).tobytes()]
-    squeeze = zstandard.ZstdCompressor(level=1)
-    for c in columns:
-        kind = c.dtype.str.encode()
-        body = squeeze.compress(np.ascontiguousarray(c).view(np.uint8).reshape(-1, c.dtype.itemsize).T.tobytes())
-        parts += [np.array([len(kind), len(c), len(body)], dtype=np.uint32).tobytes(), kind, body]
-    return b"".join(parts)
+    """Columns of integers as one small blob: the bytes of each transposed, all in one zstandard frame."""
+    head = np.array([len(columns), *[x for c in columns for x in (_KINDS.index(c.dtype), len(c))]], "<u4")
+    body = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, c.dtype.itemsize).T.tobytes() for c in columns if len(c))
+    return head.tobytes() + (zstandard.ZstdCompressor(level=1).compress(body) if body else b"")
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
-    out, at = [], 4
-    open_ = zstandard.ZstdDecompressor()
-    for _ in range(int(np.frombuffer(blob, np.uint32, 1)[0])):
-        k, n, b = np.frombuffer(blob, np.uint32, 3, at).tolist()
-        at += 12
-        kind = np.dtype(blob[at : at + k].decode())
-        at += k
-        size = n * kind.itemsize
-        body = open_.decompress(blob[at : at + b], max_output_size=max(size, 1)) if n else b""
-        out.append(np.frombuffer(body, np.uint8).reshape(kind.itemsize, n).T.copy().view(kind).reshape(-1) if n else np.zeros(0, kind))
-        at += b
+    n = int(np.frombuffer(blob, "<u4", 1)[0])
+    head = np.frombuffer(blob, "<u4", 2 * n, 4).reshape(n, 2)
+    kinds, sizes = [_KINDS[k] for k in head[:, 0].tolist()], head[:, 1].tolist()
+    total, at, out = sum(k.itemsize * s for k, s in zip(kinds, sizes)), 0, []
+    body = zstandard.ZstdDecompressor().decompress(blob[4 + 8 * n :], max_output_size=total) if total else b""
+    for kind, size in zip(kinds, sizes):
+        to = at + kind.itemsize * size
+        out.append(np.frombuffer(body[at:to], np.uint8).reshape(kind.itemsize, size).T.copy().view(kind).reshape(-1) if size else np.zeros(0, kind))
+        at = to
     return out
 
 
@@ -225,6 +220,18 @@ def slots_of(hashes: np.ndarray, slots: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
 
 
+def ranks(letters: np.ndarray, size: int) -> np.ndarray:
+    """Rank (from 1) of the ``size`` letters from each place on among all such, in the letters' order, by prefix doubling; places after the last count as least."""
+    rank, have = np.unique(letters, return_inverse=True)[1].astype(np.uint64) + np.uint64(1), 1
+    while have < size and len(rank):
+        step = min(have, size - have)
+        pair = rank << np.uint64(32)
+        pair[:-step] |= rank[step:]
+        rank = np.unique(pair, return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
+        have += step
+    return rank
+
+
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends (exclusive) of the runs of True."""
     edge = np.diff(np.concatenate(([0], mask.astype(np.int8), [0])))
