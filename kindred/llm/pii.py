@@ -4,17 +4,21 @@ Base patterns find protected entities: e-mail addresses, IP addresses, card and
 estimates how strongly other terms reveal them: for an entity e and a term t near its mentions, the pointwise mutual
 information of the two over the information content of e,
 
-    disclosure(e, t) = log(c(e, t) N / (n(e) n(t))) / log(N / n(e)),
+    disclosure(e, t) = log(c(e, t) N / (n(e) n(t))) / log((N + 1) / n(e)),
 
-with N documents, n(t) of them holding t, n(e) that mention e and c(e, t) of those holding t near a mention. Mentions between the same
-words, as far as terms are taken, count for the document of least key among theirs, so copies count once. Terms are the words
+with N rows, n(t) of them holding t, n(e) that mention e and c(e, t) of those holding t near a mention; all four count rows, each
+once. ``support`` asks for so many different texts among the c(e, t), so copies of one document make no term. Terms are the words
 without ASCII punctuation at their ends, of any length and with any characters, and the parts of a word between ASCII punctuation;
 words that overlap a base span are none. A term whose disclosure exceeds the threshold for an entity, with
 enough support, is removed (threshold ``remove_at``) or generalised (``generalise_at``) wherever it stands.
+
+Terms are found again in the corpus by a filter of bits, of bounded size, that every task holds; what it lets through is joined with
+the terms themselves. So each of the two counts takes one scan, however many terms there are, and the driver sees no list of them.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -24,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.anchors import keyed
-from kindred.llm.textkit import LOWER, Words, hash_ranges, pieces, raw
-from kindred.shared import materialise
+from kindred.llm.anchors import KEY, KEYS, key_columns, keyed, named, unused
+from kindred.llm.textkit import LOWER, Words, hash_ranges, mix, pieces, raw
+from kindred.shared import discard, materialise
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -37,8 +41,10 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Terms that one scan looks for at once (8 bytes each, captured by the task).
-BLOCK = 1_000_000
+#: Bits of the filter for each term, and the least and most bits (as powers of two) it has in all.
+BITS_PER_TERM, LEAST_BITS, MOST_BITS = 16, 16, 31
+#: Terms up to which their table is broadcast.
+FEW_TERMS = 100_000
 #: Bytes that part the terms within a word, as spaces; and those that begin and end a term.
 _FOLD = LOWER.copy()
 _FOLD[[b for b in range(33, 127) if chr(b) in EDGE]] = 0x20
@@ -129,48 +135,24 @@ def _suspects(piece: pa.RecordBatch) -> np.ndarray:
     return np.flatnonzero(sums[offsets[1:]] > sums[offsets[:-1]])
 
 
-SPANS = "spans array<struct<start:int,end:int,kind:string>>"
-MENTIONS = "mentions array<struct<entity:long,context:long,terms:array<string>>>"
-
+SPANS = "spans array<struct<start:int,end:int,kind:string,action:string>>"
+ENTITIES = "entities array<struct<entity:long,terms:array<string>>>"
+_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("action", pa.string())]))
+_ENTITY = pa.list_(pa.struct([("entity", pa.int64()), ("terms", pa.list_(pa.string()))]))
 
-def _mentions(text: str, spans: list[tuple[int, int, str]], reach: int) -> list[dict]:
-    import bisect
 
+def mentioned(text: str, spans: list[tuple[int, int, str]], reach: int) -> list[dict]:
+    """Each entity of the text once, with the terms within ``reach`` words of any of its mentions."""
     words = [(m.start(), m.end()) for m in WORD.finditer(text)]
     starts, ends = [s for s, _ in words], [e for _, e in words]
     # words that a base span overlaps are replaced anyway
     taken = {k for a, b, _ in spans for k in range(bisect.bisect_right(ends, a), bisect.bisect_left(starts, b))}
-    out = []
-
+    near: dict[int, set[int]] = {}
     for a, b, kind in spans:
         value = text[a:b].lower() if kind == "email" else "".join(c for c in text[a:b] if c.isdigit() or (kind == "ip" and c == "."))
         low, high = bisect.bisect_right(ends, a), bisect.bisect_left(starts, b)
-        before = [text[s:e] for s, e in words[max(0, low - reach) : low]]
-        after = [text[s:e] for s, e in words[high : high + reach]]
-        near = {t for k in (*range(max(0, low - reach), low), *range(high, min(len(words), high + reach))) if k not in taken for t in terms_of(text[words[k][0] : words[k][1]])}
-        out.append({"entity": _hash64(kind + ":" + value), "context": _hash64(" ".join(before) + "\n" + " ".join(after)), "terms": sorted(near)})
-    return out
-
-
-def _frequencies(base: DataFrame, hashes: np.ndarray) -> DataFrame:
-    """(term hash, n): documents that hold each of the terms, block by block."""
-    total = None
-    for k in range(0, len(hashes), BLOCK):
-        wanted = hashes[k : k + BLOCK]
-
-        def count(batches: Iterator[pa.RecordBatch], wanted: np.ndarray = wanted) -> Iterator[pa.RecordBatch]:
-            for piece in pieces(batches, "text"):
-                words = Terms(piece.column("text"))
-                own = words.hashes()
-                at = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
-                hit = np.flatnonzero(wanted[at] == own)
-                pairs = np.unique(at[hit] * words.docs + words.doc[hit]) // max(words.docs, 1)
-                value, n = np.unique(pairs, return_counts=True)
-                yield pa.record_batch([pa.array(wanted[value].view(np.int64)), pa.array(n, pa.int64())], names=["term", "n"])
-
-        part = base.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-        total = part if total is None else total.unionByName(part)
-    return total
+        near.setdefault(_hash64(kind + ":" + value), set()).update(k for k in (*range(max(0, low - reach), low), *range(high, min(len(words), high + reach))) if k not in taken)
+    return [{"entity": e, "terms": sorted({t for k in own for t in terms_of(text[words[k][0] : words[k][1]])})} for e, own in near.items()]
 
 
 def term_hashes(terms: list[str]) -> np.ndarray:
@@ -180,103 +162,183 @@ def term_hashes(terms: list[str]) -> np.ndarray:
     return w.hashes()
 
 
+def _bits(hashes: np.ndarray, power: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each hash in a filter of 2**power."""
+    return hashes >> np.uint64(64 - power), mix(hashes) >> np.uint64(64 - power)
+
+
+class Filter:
+    """Which hashes may be wanted: all that are, and a small share of the others."""
+
+    def __init__(self, hashes: DataFrame):
+        """hashes: (hash long), distinct. The bits are set by the tasks and united in blocks; the driver gets at most 2**MOST_BITS of them."""
+        self.power = power = min(MOST_BITS, max(LEAST_BITS, (BITS_PER_TERM * max(1, hashes.count()) - 1).bit_length()))
+        block = 1 << 13
+
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.zeros(1 << (power - 3), np.uint8)
+            for b in batches:
+                for at in _bits(np.asarray(b.column(0)).view(np.uint64), power):
+                    np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+            rows = bits.reshape(-1, min(block, len(bits)))
+            used = np.flatnonzero(rows.any(axis=1))
+            yield pa.record_batch([pa.array(used, pa.int64()), pa.array([rows[k].tobytes() for k in used], pa.binary())], names=["block", "bits"])
+
+        def unite(table: pa.Table) -> pa.Table:
+            both = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table["bits"].to_pylist()])
+            return pa.table([table["block"][:1].combine_chunks(), pa.array([both.tobytes()], pa.binary())], names=["block", "bits"])
+
+        got = hashes.mapInArrow(mark, "block long, bits binary").groupBy("block").applyInArrow(unite, "block long, bits binary").toArrow()
+        self.bits = np.zeros(1 << (power - 3), np.uint8)
+        for k, x in zip(got["block"].to_pylist(), got["bits"].to_pylist()):
+            self.bits[k * block : k * block + len(x)] = np.frombuffer(x, np.uint8)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes that may be wanted."""
+        maybe = np.arange(len(hashes))
+        for k in (0, 1):
+            at = _bits(hashes[maybe], self.power)[k]
+            maybe = maybe[(self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1) == 1]
+        return maybe
+
+
+def _frequencies(base: DataFrame, wanted: Filter) -> DataFrame:
+    """(hash, n_term): rows that hold each term, of all that the filter lets through."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text"):
+            words = Terms(piece.column("text"))
+            own = words.hashes()
+            hit = wanted(own)
+            pair = np.unique(np.stack((own[hit], words.doc[hit].astype(np.uint64))), axis=1)[0]
+            value, n = np.unique(pair, return_counts=True)
+            yield pa.record_batch([pa.array(value.view(np.int64)), pa.array(n, pa.int64())], names=["hash", "n"])
+
+    return base.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n_term"))
+
+
 def disclosing_terms(base: DataFrame, found: DataFrame, support: int, at_least: float) -> DataFrame | None:
-    """(term, disclosure): terms near recurring entities that disclose one of them; None if no entity recurs."""
-    mentions = found.select(F.struct("rid", "tag").alias("doc"), F.explode("mentions").alias("m")).select("doc", "m.entity", "m.context", "m.terms")
-    # equal contexts have equal terms, so it doesn't matter whose are kept; those of one document are merged
-    mentions = materialise(mentions.groupBy("entity", "context").agg(F.min("doc").alias("doc"), F.min("terms").alias("terms")), "contexts")
-    entities = mentions.select("entity", "doc").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= support)
-    near = mentions.join(entities, "entity").select("entity", "n_entity", "doc", F.explode("terms").alias("term")).distinct()
-    pairs = near.groupBy("entity", "n_entity", "term").agg(F.count("*").alias("c"))
-    pairs = materialise(pairs.filter(F.col("c") >= support), "pairs")
-    spark = base.sparkSession
-    names = pairs.select("term").distinct()
+    """(term, hash, disclosure), materialised: terms near entities that disclose one of them; None if no term has support."""
+    mentions = found.select("t1", F.explode("entities").alias("m")).select("t1", "m.entity", "m.terms")
+    entities = mentions.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    near = mentions.select("t1", "entity", F.explode("terms").alias("term"))
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("c"), F.count_distinct("t1").alias("texts")).filter(F.col("texts") >= support)
+    pairs = materialise(pairs.join(entities, "entity"), "pairs")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 yield pa.record_batch([b.column(0), pa.array(term_hashes(b.column(0).to_pylist()).view(np.int64))], names=["term", "hash"])
 
-    coded = materialise(names.mapInArrow(hashed, "term string, hash long"), "terms")
-    hashes = np.unique(np.asarray(coded.select("hash").toArrow()["hash"]).view(np.uint64)) if coded.count() else np.zeros(0, np.uint64)
-    if not len(hashes):
-        return None
-    n = base.count()
-    counts = _frequencies(base, hashes).withColumnRenamed("term", "hash").withColumnRenamed("n", "n_term")
-    ratio = F.log(F.col("c") * n / (F.col("n_entity") * F.greatest("n_term", "c"))) / F.log(F.lit(float(n + 1)) / F.col("n_entity"))
-    scored = pairs.join(coded, "term").join(counts, "hash").withColumn("disclosure", ratio)
-    return materialise(scored.filter(F.col("disclosure") >= at_least).groupBy("term", "hash").agg(F.max("disclosure").alias("disclosure")), "disclosing")
+    coded = materialise(pairs.select("term").distinct().mapInArrow(hashed, "term string, hash long"), "terms")
+    out = None
+    if not coded.isEmpty():
+        n = base.count()
+        counts = _frequencies(base, Filter(coded.select("hash").distinct()))
+        ratio = F.log(F.col("c") * n / (F.col("n_entity") * F.greatest("n_term", "c"))) / F.log(F.lit(float(n + 1)) / F.col("n_entity"))
+        scored = pairs.join(coded, "term").join(counts, "hash").withColumn("disclosure", ratio)
+        out = materialise(scored.filter(F.col("disclosure") >= at_least).groupBy("term", "hash").agg(F.max("disclosure").alias("disclosure")), "disclosing")
+        if out.isEmpty():
+            discard(out)
+            out = None
+    for t in (pairs, coded):
+        discard(t)
+    return out
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 12, support: int = 3, generalise_at: float = 0.7, remove_at: float = 0.9) -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 12, support: int = 2, generalise_at: float = 0.7, remove_at: float = 0.9) -> DataFrame:
     """Finds personal data and the terms that reveal it, in every document.
 
-    Returns one row per row of ``docs``: rid and tag (its key: id and a hash of the text), the id, and spans: (start, end, kind, action)
-    in code points, by start, then kind (email, ip, card, phone, term). Base spans have the action 'replace', terms
-    'generalise' or 'remove'; a term span never overlaps a base span. ``sanitise`` applies them.
+    Returns one row per row of ``docs``: rid, t1 and t2 (its key: id and a hash of the text), the id, and spans: (start, end, kind, action)
+    in code points, by start, then kind in the order email, ip, card, phone, term. Base spans have the action 'replace', terms
+    'generalise' or 'remove'; a term span never overlaps a base span or another term. ``sanitise`` applies them.
 
-    A null text has no spans. Repeated rows get the same spans and count as one document of an entity. Other columns are ignored. An empty
-    table gives an empty result.
+    A null text has no spans. Repeated rows get the same spans; they count as rows, but not as different texts. Other columns are
+    ignored. An empty table gives an empty result.
     """
     base = keyed(docs, id_col, text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
-        seen = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("terms", pa.list_(pa.string()))]))
         for piece in pieces(batches, "text"):
             spans: list[list] = [[] for _ in range(piece.num_rows)]
-            mentions: list[list] = [[] for _ in range(piece.num_rows)]
+            entities: list[list] = [[] for _ in range(piece.num_rows)]
             for d in _suspects(piece).tolist():
                 text = piece.column("text")[d].as_py()
                 if own := base_spans(text):
-                    spans[d] = [{"start": a, "end": b, "kind": k} for a, b, k in own]
-                    mentions[d] = _mentions(text, own, reach)
-            yield pa.record_batch([piece.column("rid"), piece.column("tag"), pa.array(spans, kind), pa.array(mentions, seen)], names=["rid", "tag", "spans", "mentions"])
-
-    found = materialise(base.mapInArrow(scan, f"rid long, tag int, {SPANS}, {MENTIONS}"), "mentions")
-    terms = disclosing_terms(base, found.filter("size(mentions) > 0"), support, generalise_at)
-    plain = found.select("rid", "tag", F.expr("transform(spans, s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind, 'action', 'replace'))").alias("spans"))
-    if terms is not None and (rows := terms.select("hash", "disclosure").toArrow()).num_rows:
-        plain = _with_terms(base, plain, rows, remove_at)
-    return plain.withColumn(id_col, F.when(F.col("rid") != -(1 << 63), F.col("rid")).cast(docs.schema[id_col].dataType))
-
-
-def _with_terms(base: DataFrame, plain: DataFrame, rows: pa.Table, remove_at: float) -> DataFrame:
-    order = np.argsort(np.asarray(rows["hash"]).view(np.uint64))
-    hashes, ratio = np.asarray(rows["hash"]).view(np.uint64)[order], np.asarray(rows["disclosure"])[order]
-    out = plain
-    for k in range(0, len(hashes), BLOCK):
-
-        def spot(batches: Iterator[pa.RecordBatch], wanted: np.ndarray = hashes[k : k + BLOCK], ratio: np.ndarray = ratio[k : k + BLOCK]) -> Iterator[pa.RecordBatch]:
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("action", pa.string())]))
-            for piece in pieces(batches, "text"):
-                words = Terms(piece.column("text"))
-                own = words.hashes()
-                at = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
-                hit = np.flatnonzero(wanted[at] == own)
-                # a part of a word that is itself a term is none
-                hit = hit[(hit < words.whole) | ~np.isin(words.of[hit], hit[hit < words.whole])]
-                points = np.concatenate(([0], np.cumsum((words.data & 0xC0) != 0x80)))
-                low = points[words.offsets[:-1]]
-                spans: dict[int, list] = {}
-                for w in hit.tolist():
-                    d = int(words.doc[w])
-                    spans.setdefault(d, []).append({"start": int(points[words.start[w]] - low[d]), "end": int(points[words.end[w]] - low[d]), "kind": "term", "action": "remove" if ratio[at[w]] >= remove_at else "generalise"})
-                rows = pa.array(list(spans), pa.int64())
-                yield pa.record_batch([piece.column("rid").take(rows), piece.column("tag").take(rows), pa.array(list(spans.values()), kind)], names=["rid", "tag", "more"])
-
-        spotted = base.mapInArrow(spot, "rid long, tag int, more array<struct<start:int,end:int,kind:string,action:string>>").dropDuplicates(["rid", "tag"])
-        free = "filter(coalesce(more, array()), m -> not exists(spans, s -> s.kind <> 'term' and m.start < s.end and s.start < m.end))"
-        out = out.join(spotted, ["rid", "tag"], "left").withColumn("spans", F.expr(f"array_sort(concat(spans, {free}))")).drop("more")
-    if len(hashes) > BLOCK:  # a word and its part may have been found by different scans
-        held = "exists(spans, o -> o.kind = 'term' and o.start <= s.start and s.end <= o.end and s.end - s.start < o.end - o.start)"
-        out = out.withColumn("spans", F.expr(f"filter(spans, s -> s.kind <> 'term' or not {held})"))
-    return out
+                    spans[d] = [{"start": a, "end": b, "kind": k, "action": "replace"} for a, b, k in own]
+                    entities[d] = mentioned(text, own, reach)
+            yield pa.RecordBatch.from_pydict({**{c: piece.column(c) for c in KEY}, "spans": pa.array(spans, _SPAN), "entities": pa.array(entities, _ENTITY)})
+
+    found = materialise(base.mapInArrow(scan, f"{KEYS}, {SPANS}, {ENTITIES}"), "mentions")
+    terms = disclosing_terms(base, found.filter("size(entities) > 0"), support, generalise_at)
+    plain = found.select(*KEY, "spans")
+    if terms is not None:
+        plain = _with_terms(base, plain, terms, remove_at)
+    return plain.withColumn(id_col, named(docs, id_col))
+
+
+def _with_terms(base: DataFrame, plain: DataFrame, terms: DataFrame, remove_at: float) -> DataFrame:
+    wanted = Filter(terms.select("hash").distinct())
+
+    def spot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text"):
+            words = Terms(piece.column("text"))
+            own = words.hashes()
+            hit = wanted(own)
+            points = np.concatenate(([0], np.cumsum((words.data & 0xC0) != 0x80)))
+            doc = words.doc[hit]
+            low = points[words.offsets[:-1]][doc]
+            at = pa.array(doc, pa.int64())
+            cols = {"hash": pa.array(own[hit].view(np.int64)), "start": pa.array(points[words.start[hit]] - low, pa.int32()), "end": pa.array(points[words.end[hit]] - low, pa.int32())}
+            yield pa.RecordBatch.from_pydict({**{c: piece.column(c).take(at) for c in KEY}, **cols})
+
+    table = terms.groupBy("hash").agg(F.max("disclosure").alias("disclosure"))
+    table = F.broadcast(table) if terms.count() <= FEW_TERMS else table
+    spotted = base.mapInArrow(spot, f"{KEYS}, hash long, start int, end int").join(table, "hash")
+    action = F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise").alias("action")
+    # rows of equal key find equal spans
+    more = spotted.groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("start", "end", action))).alias("more"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = b.column("spans").to_pylist()
+            for d, found in enumerate(b.column("more").to_pylist()):
+                if found:
+                    out[d] = merged(out[d], found)
+            yield pa.RecordBatch.from_pydict({**{c: b.column(c) for c in KEY}, "spans": pa.array(out, _SPAN)})
+
+    return plain.join(more, list(KEY), "left").mapInArrow(merge, f"{KEYS}, {SPANS}")
+
+
+def merged(base: list[dict], terms: list[dict]) -> list[dict]:
+    """Base spans (in order) and terms, by start and kind: no term that overlaps a base span, or that is a part of another term."""
+    out, held = [], 0
+    # base spans as disjoint stretches of the text
+    low: list[int] = []
+    high: list[int] = []
+    for s in sorted(base, key=lambda s: s["start"]):
+        if high and s["start"] < high[-1]:
+            high[-1] = max(high[-1], s["end"])
+        else:
+            low.append(s["start"])
+            high.append(s["end"])
+    for t in sorted(terms, key=lambda t: (t["start"], -t["end"])):
+        at = bisect.bisect_right(high, t["start"])
+        if at < len(low) and low[at] < t["end"]:
+            continue
+        if t["end"] <= held:
+            continue
+        held = t["end"]
+        out.append({"start": t["start"], "end": t["end"], "kind": "term", "action": t["action"]})
+    return sorted([*base, *out], key=lambda s: (s["start"], KINDS.index(s["kind"])))
 
 
 def sanitise(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with its text sanitised: base spans become [EMAIL], [IP], [CARD] or [PHONE], generalised terms [TERM], removed ones nothing. Null texts stay null."""
-    key = [F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))).alias("rid"), F.hash(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("tag")]
+    """``docs`` with its text sanitised: base spans become [EMAIL], [IP], [CARD] or [PHONE], generalised terms [TERM], removed ones nothing.
+
+    found: what ``personal_data`` gave for these rows. Null texts stay null; all other columns, whatever their names, stay as they are.
+    """
+    r, a, b, held = unused(docs, "rid", "t1", "t2", "spans")
 
     @F.pandas_udf("string")
     def clean(text, spans):  # noqa: ANN001, ANN202
@@ -297,6 +359,7 @@ def sanitise(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col
 
         return pd.Series(out)
 
-    spans = found.filter("size(spans) > 0").select(F.col("rid").alias("_rid"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans")).dropDuplicates(["_rid", "_tag"])
-    joined = docs.join(spans, (key[0] == F.col("_rid")) & (key[1] == F.col("_tag")), "left")
-    return joined.withColumn(text_col, clean(F.col(f"`{text_col}`"), F.col("_spans"))).drop("_rid", "_tag", "_spans")
+    spans = found.filter("size(spans) > 0").select(F.col("rid").alias(r), F.col("t1").alias(a), F.col("t2").alias(b), F.col("spans").alias(held)).dropDuplicates([r, a, b])
+    keyed_ = docs.withColumns(dict(zip((r, a, b), key_columns(id_col, text_col))))
+    joined = keyed_.join(spans, [r, a, b], "left")
+    return joined.withColumn(text_col, clean(F.col(f"`{text_col}`"), F.col(held))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -63,11 +63,11 @@ def test_terms_that_reveal(spark):
     assert clean[501] is None and clean[502] == "" and clean[200] == dict(rows)[200]
 
 
-def _term_spans(spark, rows):
+def _term_spans(spark, rows, support=2):
     """Per document the removed terms, as they stand there."""
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     text = dict(rows)
-    return {r.doc_id: [text[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "term" and s.action == "remove"] for r in pii.personal_data(df).collect()}
+    return {r.doc_id: [text[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "term" and s.action == "remove"] for r in pii.personal_data(df, support=support).collect()}
 
 
 def test_terms_in_a_minor_part_of_the_contexts(spark):
@@ -86,7 +86,7 @@ def test_contexts_are_told_apart_by_document(spark):
     # two mentions in one document are one
     rows += [(100 + k, f"{fill(4)} quagmire a@b.example.com {fill(30)} quagmire a@b.example.com {fill(9)}") for k in range(2)]
     rows += [(200 + k, fill(60)) for k in range(400)]
-    got = _term_spans(spark, rows)
+    got = _term_spans(spark, rows, support=3)
     assert all(("zorblax" in got[d]) == (d < 6) and "quagmire" not in got[d] for d, _ in rows)
 
 
@@ -102,6 +102,61 @@ def test_terms_of_any_kind(spark):
     assert all(not got[200 + k] for k in range(400))
 
 
+def test_base_order_with_terms_present(spark):
+    """Base spans stand by start, then kind as listed, whether or not the corpus yields terms."""
+    rng = random.Random(21)
+    fill = lambda n: " ".join(f"filler{rng.randrange(90)}" for _ in range(n))
+    odd = "see 1.2.3.4@x.com and 4111111111111111@y.org and +12345678901@z.net"
+    rows = [(k, f"{fill(9)} zorblax boss@corp.example.com {fill(9)}") for k in range(8)] + [(200 + k, fill(60)) for k in range(300)] + [(900, odd), (901, odd + " zorblax")]
+    for held in (rows[-2:], rows):
+        df = spark.createDataFrame(held, "doc_id long, text string").repartition(3)
+        spans = {r.doc_id: [(s.start, s.end, s.kind) for s in r.spans] for r in pii.personal_data(df).collect()}
+        for d in (900, 901):
+            assert [s for s in spans[d] if s[2] != "term"] == base(odd)
+            assert spans[d] == sorted(spans[d], key=lambda s: (s[0], pii.KINDS.index(s[2])))
+        assert (spans[901][-1][2] == "term") == (len(held) > 2)
+
+
+def test_disclosure_against_its_formula(spark):
+    """Every term and threshold decision against counts taken by hand, on texts full of words that go with entities to any degree."""
+    import math
+
+    rng = random.Random(22)
+    rows = []
+    for d in range(260):
+        w = [f"t{rng.randrange(60)}" for _ in range(rng.randrange(5, 40))]
+        if d % 2:
+            e = rng.randrange(6)
+            w.insert(rng.randrange(len(w)), f"e{e}@x{e}.example")
+            if rng.random() < 0.5:
+                w.insert(rng.randrange(len(w)), f"near{e}")
+        rows.append((d, " ".join(w)))
+    rows += [(1000 + k, rows[1][1]) for k in range(3)]
+    n, reach = len(rows), 12
+    n_entity, n_term, both, texts = Counter(), Counter(), Counter(), defaultdict(set)
+    for _, t in rows:
+        w, near = t.split(), defaultdict(set)
+        n_term.update({x for x in w if "@" not in x})
+        for k, x in enumerate(w):
+            if "@" in x:
+                near[x].update(y for y in w[max(0, k - reach) : k] + w[k + 1 : k + 1 + reach] if "@" not in y)
+        for e, ts in near.items():
+            n_entity[e] += 1
+            for x in ts:
+                both[e, x] += 1
+                texts[e, x].add(t)
+    score = defaultdict(lambda: -9.0)
+    for (e, x), c in both.items():
+        if len(texts[e, x]) >= 2:
+            score[x] = max(score[x], math.log(c * n / (n_entity[e] * n_term[x])) / math.log((n + 1) / n_entity[e]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for r in pii.personal_data(df, generalise_at=0.4, remove_at=0.7).collect():
+        t = dict(rows)[r.doc_id]
+        got = [(t[s.start : s.end], s.action) for s in r.spans if s.kind == "term"]
+        assert got == [(x, "remove" if score[x] >= 0.7 else "generalise") for x in t.split() if "@" not in x and score[x] >= 0.4]
+    assert sum(0.4 <= v < 0.7 for v in score.values()) and sum(v >= 0.7 for v in score.values())
+
+
 def test_terms_match_the_words(spark):
     import pyarrow as pa
 
