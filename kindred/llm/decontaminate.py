@@ -1,9 +1,12 @@
 """Benchmark decontamination: a BM25 inverted index of the test items, and every training passage as a query with block-max WAND.
 
 Scores are BM25 of a passage's distinct terms against an item, over the item's score against itself, so one threshold in
-(0, 1] serves items of any length. Items stand in blocks of alike ones. A passage goes through three bounds: the sum of its terms'
-greatest impacts on any item, then the sums of their greatest impacts on any item of a block, then the exact scores in the blocks
-that are left. No passage or item at or above the threshold is lost. What is retrieved is verified: shares of the question's and
+(0, 1] serves items of any length. A term's postings are its segments in ascending order with their impacts; its greatest impact on
+any segment, and on any segment of each block (a range of segment numbers), are kept beside them. Every term of a passage has a
+cursor. A step takes the cursors by segment and adds up their greatest impacts until the threshold is reached: there is the pivot. If
+the greatest impacts in the pivot's block can't reach the threshold, the cursors skip the block, or to the next cursor beyond the pivot;
+else they move to the pivot, and once all stand there its score is taken exactly. Many passages make their steps at once. No
+passage or item at or above the threshold is lost. What is retrieved is verified: shares of the question's and
 of the answer's word grams that stand in the document around the passage, or else of their words without edits.
 """
 
@@ -17,19 +20,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.anchors import keyed
+from kindred.llm.anchors import KEY, KEYS, keyed, keys_of, named
 from kindred.llm.textkit import LOWER, Words, pieces
 
 _FOLD = LOWER.copy()
 _FOLD[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 0x20
-#: Segments and words that one index holds (its impacts take at most 4 bytes for each pair of both, 25 MB); more make further indexes, each
-#: asked by every passage.
-SEGMENTS, WORDS = 384, 1 << 14
+#: Postings that one scan of the corpus asks (8 bytes each, held by every task); a benchmark of more takes further scans.
+POSTINGS = 30_000_000
+#: Segments of a block at least, and entries of each table by term and block (4 bytes each) at most.
+BLOCK, TABLE = 8, 16_000_000
+#: Passages that make their steps together.
+TOGETHER = 2048
 #: Words of an indexed segment, and of a passage's stride; a passage is two strides, so that it holds any segment whole.
 STRIDE = 64
-BLOCK = 8
 K1, B = 1.2, 0.75
-FOUND = "rid long, tag int, item long, score double, passages int, question double, answer double, start int, end int"
+FOUND = f"{KEYS}, item long, score double, passages int, question double, answer double, start int, end int"
+#: Impacts are added up as whole numbers of this fraction, bounds rounded up.
+_UNIT = float(1 << 24)
+_NONE = (1 << 31) - 1
 
 
 @dataclass
@@ -57,29 +65,85 @@ def hashed_words(texts: list[str]) -> list[np.ndarray]:
     return np.split(w.hashes(), w.first[1:-1]) if texts else []
 
 
+@dataclass
+class Statistics:
+    """Of all segments of the benchmark: their number, mean length, and how many hold each word (by ascending hash)."""
+
+    segments: int
+    mean: float
+    vocabulary: np.ndarray
+    df: np.ndarray
+
+    @classmethod
+    def of(cls, lengths_and_words: Iterator[tuple[int, np.ndarray]]) -> Statistics:
+        n = total = size = 0
+        vocabulary, df, held = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+
+        def fold() -> tuple[np.ndarray, np.ndarray]:
+            new, count = np.unique(np.concatenate(held), return_counts=True)
+            both, back = np.unique(np.concatenate((vocabulary, new)), return_inverse=True)
+            return both, np.bincount(back, weights=np.concatenate((df, count))).astype(np.int64)
+
+        for length, words in lengths_and_words:
+            n, total, size = n + 1, total + length, size + len(words)
+            held.append(words)
+            if size > 4_000_000:
+                vocabulary, df = fold()
+                held, size = [], 0
+        if held:
+            vocabulary, df = fold()
+        return cls(n, total / n if n else 1.0, vocabulary, df)
+
+    def idf(self) -> np.ndarray:
+        return np.log(1 + (self.segments - self.df + 0.5) / (self.df + 0.5))
+
+
 class Index:
-    """BM25 impacts of terms on segments of items, divided by each segment's score against itself."""
+    """Postings of terms over segments of items. Impacts are BM25's, divided by each segment's score against itself."""
 
-    def __init__(self, segments_: list[tuple[Item, np.ndarray]]):
-        self.items = list({id(item): item for item, _ in segments_}.values())
+    def __init__(self, segments: list[tuple[Item, np.ndarray]], known: Statistics | None = None):
+        self.items = list({id(item): item for item, _ in segments}.values())
         number = {id(item): k for k, item in enumerate(self.items)}
-        segments, self.owner = [part for _, part in segments_], [number[id(item)] for item, _ in segments_]
-        self.vocabulary = np.unique(np.concatenate(segments)) if segments else np.zeros(0, np.uint64)
-        terms = [np.unique(np.searchsorted(self.vocabulary, s), return_counts=True) for s in segments]
-        df = np.bincount(np.concatenate([t for t, _ in terms]), minlength=len(self.vocabulary)) if terms else np.zeros(0, np.int64)
-        idf = np.log(1 + (len(segments) - df + 0.5) / (df + 0.5))
-        mean = np.mean([len(s) for s in segments]) if segments else 1.0
-        # alike segments side by side: by their most common term, which tells languages apart
-        order = sorted(range(len(segments)), key=lambda k: (int(terms[k][0][np.argmax(df[terms[k][0]])]), k))
-        self.owner = np.array([self.owner[k] for k in order], np.int64)
-        width = -(-max(1, len(order)) // BLOCK) * BLOCK
-        self.impact = np.zeros((len(self.vocabulary) + 1, width), np.float32)
-        for place, k in enumerate(order):
-            t, n = terms[k]
-            weight = idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(segments[k]) / mean))
-            self.impact[t, place] = weight / weight.sum()
-        self.block_max = self.impact.reshape(len(self.impact), -1, BLOCK).max(axis=2)
-        self.most = self.impact.max(axis=1)
+        known = known or Statistics.of((len(s), np.unique(s)) for _, s in segments)
+        n = len(segments)
+        size = np.array([len(s) for _, s in segments], np.int64)
+        owner, words = np.repeat(np.arange(n), size), np.concatenate([s for _, s in segments]) if n else np.zeros(0, np.uint64)
+        self.vocabulary, term = np.unique(words, return_inverse=True)
+        pair, count = np.unique(owner * max(1, len(self.vocabulary)) + term, return_counts=True)
+        owner, term = pair // max(1, len(self.vocabulary)), pair % max(1, len(self.vocabulary))
+        at = np.searchsorted(known.vocabulary, self.vocabulary)
+        weight = known.idf()[at][term] * count * (K1 + 1) / (count + K1 * (1 - B + B * size[owner] / known.mean))
+        weight /= np.bincount(owner, weights=weight, minlength=n)[owner]
+        # alike segments side by side: by their commonest term, which tells languages apart
+        df = known.df[at][term]
+        commonest = np.zeros(n, np.int64)
+        best = np.lexsort((-df, owner))
+        heads = best[np.diff(owner[best], prepend=-1) > 0]
+        commonest[owner[heads]] = term[heads]
+        order = np.lexsort((np.arange(n), commonest))
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.owner = np.array([number[id(segments[k][0])] for k in order], np.int64)
+        owner = place[owner]
+        by = np.lexsort((owner, term))
+        owner, term, weight = owner[by], term[by], weight[by]
+        terms = len(self.vocabulary)
+        # each list ends with no segment, so that cursors needn't look at its length; term number ``terms`` has an empty list
+        count = np.bincount(term, minlength=terms + 1)
+        self.first = np.concatenate(([0], np.cumsum(count + 1)))[:-1]
+        where = np.arange(len(term)) + term
+        self.segment = np.full(len(term) + terms + 1, _NONE, np.int32)
+        self.impact = np.zeros(len(self.segment), np.int32)
+        self.segment[where], self.impact[where] = owner, np.ceil(weight * _UNIT)
+        # per term and block: the greatest impact, and the first posting at or after the block
+        self.width = max(BLOCK, -(-n * (terms + 1) // TABLE))
+        blocks = -(-n // self.width) + 1
+        self.block_max = np.zeros((terms + 1, blocks), np.int32)
+        np.maximum.at(self.block_max, (term, owner // self.width), self.impact[where])
+        in_block = np.zeros((terms + 1, blocks), np.int64)
+        np.add.at(in_block, (term, owner // self.width), 1)
+        self.skip = (self.first[:, None] + np.cumsum(in_block, axis=1) - in_block).astype(np.int32)
+        self.most = self.block_max.max(axis=1)
         self.hint = np.zeros(1 << 16, bool)
         self.hint[(self.vocabulary >> np.uint64(48)).astype(np.int64)] = True
 
@@ -94,44 +158,69 @@ class Index:
 
     def search(self, terms: np.ndarray, start: np.ndarray, end: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(passage, segment, score) of all passages terms[start : end] that score at least ``threshold``."""
-        low = threshold - 1e-5
-        bound = np.concatenate(([0.0], np.cumsum(self.most[terms], dtype=np.float64)))
+        low = int((threshold - 1e-5) * _UNIT)
+        bound = np.concatenate(([0], np.cumsum(self.most[terms], dtype=np.int64)))
         alive = np.flatnonzero(bound[end] - bound[start] >= low)
         out: list[tuple] = []
-        for k in range(0, len(alive), 4096):
-            some = alive[k : k + 4096]
+        for k in range(0, len(alive), TOGETHER):
+            some = alive[k : k + TOGETHER]
             size = end[some] - start[some]
             row = np.repeat(np.arange(len(some)), size)
-            word = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start[some], size)
-            term = terms[word]
-            known = term < len(self.vocabulary)
-            pair = np.unique(row[known].astype(np.int64) * len(self.vocabulary) + term[known])
+            term = terms[np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start[some], size)]
+            inside = term < len(self.vocabulary)
+            pair = np.unique(row[inside].astype(np.int64) * len(self.vocabulary) + term[inside])
             row, term = pair // len(self.vocabulary), pair % len(self.vocabulary)
-            heads = np.flatnonzero(np.diff(row, prepend=-1))
-            if not len(heads):
-                continue
-            total = np.add.reduceat(self.most[term], heads)
-            keep = total >= low
-            counts = np.diff(np.append(heads, len(row)))
-            mask = np.repeat(keep, counts)
-            row, term = row[mask], term[mask]
-            heads = np.flatnonzero(np.diff(row, prepend=-1))
-            if not len(heads):
-                continue
-            bounds = np.add.reduceat(self.block_max[term], heads, axis=0)
-            i, block = np.nonzero(bounds >= low)
-            ends = np.append(heads[1:], len(row))
-            for b in np.unique(block).tolist():
-                of = i[block == b]
-                size = ends[of] - heads[of]
-                at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(heads[of], size)
-                scores = np.add.reduceat(self.impact[term[at], b * BLOCK : (b + 1) * BLOCK], np.cumsum(size) - size, axis=0)
-                x, y = np.nonzero(scores >= low)
-                out.append((some[row[heads[of[x]]]], b * BLOCK + y, scores[x, y]))
+            count = np.bincount(row, minlength=len(some))
+            query = np.full((len(some), int(count.max(initial=1))), len(self.vocabulary), np.int64)
+            query[row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)] = term
+            rows, segments, scores = self.wand(query, low)
+            out.append((some[rows], segments, scores))
         if not out:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         return tuple(np.concatenate(c) for c in zip(*out))
 
+    def wand(self, query: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, segment, score) of all that reach ``low``. query: (passages, cursors), distinct terms, filled up with the empty one."""
+        row = np.arange(len(query))
+        cursor = self.first[query]
+        most = self.most[query].astype(np.int64)
+        found: list[tuple] = []
+        while len(row):
+            at = self.segment[cursor]
+            # cursors by segment, with their greatest impact in the lower half of one number
+            line = np.sort(at.astype(np.int64) << 32 | most, axis=1)
+            reached = np.cumsum(line & 0xFFFFFFFF, axis=1) >= low
+            pivot = (line[np.arange(len(row)), reached.argmax(axis=1)] >> 32).astype(np.int32)
+            go = reached[:, -1] & (pivot < _NONE)
+            if not go.all():
+                row, query, cursor, most, at, pivot = row[go], query[go], cursor[go], most[go], at[go], pivot[go]
+                if not len(row):
+                    break
+            before = at <= pivot[:, None]
+            block = pivot // self.width
+            bound = np.where(before, self.block_max[query, block[:, None]], 0).sum(axis=1, dtype=np.int64)
+            hopeful = bound >= low
+            here = hopeful & ((at == pivot[:, None]) == before).all(axis=1)
+            if here.any():
+                h = np.flatnonzero(here)
+                score = np.where(before[h], self.impact[cursor[h]], 0).sum(axis=1, dtype=np.int64)
+                hit = score >= low
+                found.append((row[h[hit]], pivot[h[hit]], score[hit] / _UNIT))
+            beyond = np.where(before, _NONE, at).min(axis=1)
+            # to the pivot; past it, once its score is known; or past its block or to the next cursor, whichever comes first
+            to = np.where(here, pivot + 1, np.where(hopeful, pivot, np.maximum(pivot + 1, np.minimum((block + 1) * self.width, beyond))))
+            r, c = np.nonzero(at < to[:, None])
+            target, term = to[r], query[r, c]
+            spot = np.maximum(cursor[r, c], self.skip[term, np.minimum(target // self.width, self.skip.shape[1] - 1)])
+            late = np.flatnonzero(self.segment[spot] < target)
+            while len(late):
+                spot[late] += 1
+                late = late[self.segment[spot[late]] < target[late]]
+            cursor[r, c] = spot
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return tuple(np.concatenate(c) for c in zip(*found))
+
 
 def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
@@ -189,40 +278,41 @@ def shares(item: Item, region: np.ndarray, verify: float, gram: int) -> tuple[fl
     return out[0], out[1], all(held)
 
 
-def batched(rows: Iterator[tuple[int, str]], segments: int, words: int) -> Iterator[list[tuple[Item, np.ndarray]]]:
-    """Items in segments of at most STRIDE words, as many together as one index may hold; one empty batch for no items."""
-    held: list[tuple[Item, np.ndarray]] = []
-    size, any_ = 0, False
+def segments_of(rows: Iterator[tuple[int | None, str]]) -> Iterator[tuple[Item, np.ndarray]]:
+    """Items in segments of at most STRIDE words."""
     for id_, text in rows:
         question, answer = hashed_words(list(split_item(text)))
         item = Item(id_, question, answer)
         body = np.concatenate((question, answer))
         n = -(-len(body) // STRIDE)
         for part in np.array_split(body, n) if n else []:
-            if held and (len(held) >= segments or size + len(part) > words):
-                yield held
-                held, size, any_ = [], 0, True
-            held.append((item, part))
-            size += len(part)
-    if held or not any_:
-        yield held
+            yield item, part
 
 
-def indexes(benchmark: DataFrame, item_col: str, item_text_col: str, segments: int, words: int) -> Iterator[Index]:
-    rows = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("id"), F.col(f"`{item_text_col}`").alias("text")).dropna(subset=["text"]).orderBy("id", "text").toLocalIterator()
-    for batch in batched(((r["id"], r["text"]) for r in rows), segments, words):
-        yield Index(batch)
+def indexes(benchmark: DataFrame, item_col: str, item_text_col: str, postings: int) -> list[Index]:
+    """Indexes of at most ``postings`` each (one item's segments stay together), all with the statistics of the whole benchmark; at least one."""
+    rows = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("id"), F.col(f"`{item_text_col}`").alias("text")).dropna(subset=["text"]).orderBy("id", "text")
+    read = lambda: segments_of((r["id"], r["text"]) for r in rows.toLocalIterator())
+    known = Statistics.of((len(part), np.unique(part)) for _, part in read())
+    out, held, size = [], [], 0
+    for item, part in read():
+        if held and size + len(part) > postings and held[-1][0] is not item:
+            out.append(Index(held, known))
+            held, size = [], 0
+        held.append((item, part))
+        size += len(part)
+    return [*out, Index(held, known)] if held or not out else out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.5, verify: float = 0.75, gram: int = 3, shortest: int = 5, segments: int = SEGMENTS, words: int = WORDS) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.5, verify: float = 0.75, gram: int = 3, shortest: int = 5, postings: int = POSTINGS) -> DataFrame:
     """The rows of ``docs`` that hold no test item, with all their columns, without a shuffle; ``contaminated`` says what the others hold."""
     out = docs
-    for index in indexes(benchmark, item_col, item_text_col, segments, words):
+    for index in indexes(benchmark, item_col, item_text_col, postings):
 
         def scan(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for piece in pieces(batches, text_col):
                 n = piece.num_rows
-                numbered = pa.record_batch([pa.array(np.arange(n)), pa.array(np.zeros(n, np.int32)), piece.column(text_col)], names=["rid", "tag", "text"])
+                numbered = pa.RecordBatch.from_pydict({"rid": pa.array(np.arange(n)), "t1": pa.array(np.zeros(n, np.int64)), "t2": pa.array(np.zeros(n, np.int64)), "text": piece.column(text_col)})
                 clean = np.ones(n, bool)
                 for found in find(numbered, index, threshold, verify, gram, shortest):
                     clean[np.asarray(found.column("rid"))] = False
@@ -232,22 +322,22 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.5, verify: float = 0.75, gram: int = 3, shortest: int = 5, segments: int = SEGMENTS, words: int = WORDS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.5, verify: float = 0.75, gram: int = 3, shortest: int = 5, postings: int = POSTINGS) -> DataFrame:
     """Finds the documents that hold test items.
 
-    Returns one row per document and item that it holds: rid and tag (the document's key), the id, item, score (greatest among its passages), passages (how many were
+    Returns one row per document and item that it holds: rid, t1 and t2 (the document's key), the id, item, score (greatest among its passages), passages (how many were
     retrieved), question and answer (shares of their ``gram``-word grams in the document there, or where these are below ``verify``, of
     their words without edits; at least ``verify`` but for a short part with one edit, see ``shares``), and start and end (words from the first to the last retrieved passage). Words are compared without case (A-Z) and ASCII
     punctuation. Items of fewer than ``shortest`` words must stand there whole and in order.
 
     Null and empty texts hold nothing. Items with a null or empty text are in no document; equal items are each reported, those without
     an id as one item of a null id. Repeated
-    rows (same id and text) are reported once. Inverse document frequencies are those of one index; a benchmark above ``segments``
-    or ``words`` is searched index by index. Other columns are ignored. Empty tables give an empty result.
+    rows (same id and text) are reported once. All statistics are those of the whole benchmark, so results don't depend on ``postings``.
+    Other columns are ignored. Empty tables give an empty result.
     """
     base = keyed(docs, id_col, text_col)
     result: DataFrame | None = None
-    for index in indexes(benchmark, item_col, item_text_col, segments, words):
+    for index in indexes(benchmark, item_col, item_text_col, postings):
 
         def scan(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for piece in pieces(batches, "text"):
@@ -255,8 +345,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         found = base.mapInArrow(scan, FOUND)
         result = found if result is None else result.unionByName(found)
-    result = result.groupBy("rid", "tag", "item").agg(*[f(c).alias(c) for c, f in (("score", F.max), ("passages", F.max), ("question", F.max), ("answer", F.max), ("start", F.min), ("end", F.max))])
-    return result.select("rid", "tag", F.when(F.col("rid") != -(1 << 63), F.col("rid")).cast(docs.schema[id_col].dataType).alias(id_col), "item", "score", "passages", "question", "answer", "start", "end")
+    result = result.groupBy(*KEY, "item").agg(*[f(c).alias(c) for c, f in (("score", F.max), ("passages", F.max), ("question", F.max), ("answer", F.max), ("start", F.min), ("end", F.max))])
+    return result.select(*KEY, named(docs, id_col), "item", "score", "passages", "question", "answer", "start", "end")
 
 
 def find(piece: pa.RecordBatch, index: Index, threshold: float, verify: float, gram: int, shortest: int) -> Iterator[pa.RecordBatch]:
@@ -288,6 +378,7 @@ def find(piece: pa.RecordBatch, index: Index, threshold: float, verify: float, g
             out.append((d, item.id, min(x, 1.0), len(held), q, ans, low - int(words.first[d]), high - int(words.first[d])))
     if out:
         d, *cols = zip(*out)
-        at = pa.array(d, pa.int64())
         kinds = (pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.int32())
-        yield pa.record_batch([piece.column("rid").take(at), piece.column("tag").take(at), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=["rid", "tag", "item", "score", "passages", "question", "answer", "start", "end"])
+        names = ("item", "score", "passages", "question", "answer", "start", "end")
+        keys = keys_of(piece)[:, list(d)]
+        yield pa.RecordBatch.from_pydict({**{c: pa.array(k, pa.int64()) for c, k in zip(KEY, keys)}, **{c: pa.array(v, k) for c, v, k in zip(names, cols, kinds)}})
