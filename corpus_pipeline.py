@@ -10,50 +10,57 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kindred.llm.anchors import NO_ID, key_columns, unused
 from kindred.llm.decontaminate import drop_contaminated
 from kindred.llm.mixing import mix_sources
 from kindred.llm.quality import keep_good
 from kindred.llm.queries import table
 from kindred.llm.sharding import kd_shards
 from kindred.llm.simhash import near_duplicates
-from kindred.shared import materialise
+from kindred.shared import discard, materialise, scratch
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier keeps."""
+    """Documents that the co-trained classifier keeps; null and empty texts are judged like any other, repeated rows alike. Without labels all stay."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
-def _keys(docs: DataFrame) -> DataFrame:
-    """``docs`` with _rid and _tag: its id (for a null id a number above all ids, from the text) and a hash of the text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    unnamed = F.shiftrightunsigned(F.xxhash64(text), 2) + F.lit(1 << 62)
-    return docs.withColumns({"_rid": F.coalesce(F.col("doc_id").cast("long"), unnamed), "_tag": F.hash(text)})
-
-
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked documents the one of least id, once. Ids that stand on rows of different groups stay in each."""
-    keyed = _keys(docs)
-    near = near_duplicates(keyed, id_col="_rid")
-    first = near.filter(F.col("_rid") == F.col("component_id")).select("_rid").distinct()
-    once = Window.partitionBy("_rid", "_tag").orderBy("source")
-    return keyed.join(first, "_rid", "left_semi").withColumn("_n", F.row_number().over(once)).filter("_n = 1").select(docs.columns)
+    """Of every group of linked documents the one of least id, once.
+
+    A document is known by its id and 128 bits of its text. Those without an id come after all others, by their texts. Null and empty
+    texts are linked like any other. Of rows that agree in id and text the one of least source stays. An empty table stays empty.
+    """
+    key, n = unused(docs, "key", "n")
+    rid, *text = key_columns("doc_id", "text")
+    last = F.when(F.col("doc_id").isNull(), F.lit((1 << 63) - 1)).otherwise(rid).alias("rid")
+    keyed = docs.withColumn(key, F.struct(last, *text))
+    near = near_duplicates(keyed, id_col=key)
+    first = near.filter(F.col(key) == F.col("component_id")).select(key).distinct()
+    once = Window.partitionBy(key).orderBy("source")
+    return keyed.join(first, key, "left_semi").withColumn(n, F.row_number().over(once)).filter(F.col(n) == 1).select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item."""
+    """Documents that hold no test item; null and empty texts hold none. Repeated rows all stay or all go."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it: not at all, once or twice."""
-    keyed = _keys(docs)
-    drawn = mix_sources(keyed, id_col="_rid").groupBy("_rid", F.col("tag").alias("_tag")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    return keyed.join(drawn, ["_rid", "_tag"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    """Every document as often as the mix takes it: not at all, once or twice.
+
+    Rows that agree in id and text are taken as often as the most favoured of them. Documents without words are taken with their blocks.
+    An empty table stays empty.
+    """
+    r, a, b, copies, copy = unused(docs, "rid", "t1", "t2", "copies", "copy")
+    keyed = docs.withColumns(dict(zip((r, a, b), key_columns("doc_id", "text"))))
+    drawn = mix_sources(docs).filter("copies > 0").withColumn("rid", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    drawn = drawn.groupBy(F.col("rid").alias(r), F.col("t1").alias(a), F.col("t2").alias(b)).agg(F.max("copies").alias(copies))
+    return keyed.join(drawn, [r, a, b]).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every document of the mix."""
+    """Shard and slot of every document of the mix; null texts count as empty, and each repeated row has a slot of its own."""
     return kd_shards(docs, shards=24)
 
 
@@ -70,7 +77,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each is written and read again, and what it needed goes with it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        with scratch() as kept:
+            done = materialise(stage(spark, docs, sf_dir), name)
+            kept.add(done._kindred_path)
+        discard(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.shared import discard, materialise
+from kindred.llm.anchors import key_columns
+from kindred.shared import materialise
 
 #: Documents of a block, up to the point where a source has MOST_BLOCKS.
 BLOCK = 64
@@ -52,13 +53,51 @@ def targets(sizes: list[int], weights: list[float], total: float, most: float) -
     return out
 
 
+def hypergeometric(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
+    """How many of ``n`` draws without replacement are good. Beyond numpy's limit of 1e9 units by the same rejection from a table mountain hat (Stadlober 1990)."""
+    if good + bad < 1_000_000_000:
+        return int(rng.hypergeometric(good, bad, n))
+    few, many, all_ = min(good, bad), max(good, bad), good + bad
+    m = min(n, all_ - n)
+    if not few or not m:
+        z = 0
+    else:
+        share = few / all_
+        centre, spread = m * share + 0.5, math.sqrt((all_ - m) * m * share * (1 - share) / (all_ - 1) + 0.5)
+        log = lambda k: math.lgamma(k + 1) + math.lgamma(few - k + 1) + math.lgamma(m - k + 1) + math.lgamma(many - m + k + 1)
+        top = log(math.floor((m + 1) * (few + 1) / (all_ + 2)))
+        end = min(min(m, few) + 1, math.floor(centre + 16 * spread))
+        while True:
+            x, y = rng.random(), rng.random()
+            w = centre + (1.7155277699214135 * spread + 0.8989161620588988) * (y - 0.5) / x if x else -1.0
+            if not max(0, m - many) <= w < end:
+                continue
+            z = math.floor(w)
+            if 2 * math.log(x) <= top - log(z):
+                break
+    if good > bad:
+        z = m - z
+    return z if m == n else good - z
+
+
+def share_out(quotas: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """A multivariate-hypergeometric draw of ``n`` of the units that ``quotas`` counts."""
+    out, left = np.zeros(len(quotas), np.int64), int(quotas.sum())
+    if left < 1_000_000_000:
+        return rng.multivariate_hypergeometric(quotas, n, method="marginals") if left else out
+    for k, own in enumerate(quotas.tolist()):
+        left -= own
+        out[k] = hypergeometric(own, left, n, rng)
+        n -= int(out[k])
+    return out
+
+
 def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
     """(shards, sources): exact block quotas of each shard, by a tree of multivariate-hypergeometric halvings."""
     if shards == 1:
         return quotas[None, :]
     left = shards // 2
-    n = int(quotas.sum()) * left // shards
-    share = rng.multivariate_hypergeometric(quotas, n, method="marginals") if quotas.sum() else quotas
+    share = share_out(quotas, int(quotas.sum()) * left // shards, rng)
     return np.concatenate((split_quotas(share, left, rng), split_quotas(quotas - share, shards - left, rng)))
 
 
@@ -75,7 +114,7 @@ def fill(sizes: np.ndarray, room: int) -> np.ndarray:
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, shards: int = 16, seed: int = 17, block: int = BLOCK) -> DataFrame:
     """Draws a mix of ``share`` times all words, sources (by code point, null last) weighing ``weights``, repeating.
 
-    Returns one row per row of ``docs``: the id, tag (a hash of the text), size (words), source_size, target (its source's), taken (words the mix
+    Returns one row per row of ``docs``: the id, t1 and t2 (hashes of the text), size (words), source_size, target (its source's), taken (words the mix
     takes from it: its size times copies), copies, and draws (one struct of shard and order for each copy; the order
     shuffles the rows of a shard). A document is taken whole, at most ``most`` times. Which ones depends on ids, sources,
     sizes and ``seed`` alone, so reruns agree.
@@ -89,7 +128,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError("most must be a whole number of copies")
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{text_col}`").alias("text"))
-    rows = rows.select("id", "source", F.hash(F.coalesce("text", F.lit(""))).alias("tag"), F.coalesce(F.when(F.col("text").isNotNull(), F.expr(WORDS)), F.lit(0)).cast("long").alias("size"))
+    rows = rows.select("id", "source", *[c.alias(n) for c, n in zip(key_columns("id", "text")[1:], ("t1", "t2"))], F.coalesce(F.when(F.col("text").isNotNull(), F.expr(WORDS)), F.lit(0)).cast("long").alias("size"))
     rows = materialise(rows, "sizes")
     per = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).toArrow().to_pylist()
     if len(per) > MOST_SOURCES:
@@ -107,7 +146,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sources = spark.createDataFrame(plan, fields) if plan else spark.createDataFrame([], fields)
     # the hash of id, size and text spreads rows of one id over the blocks
     placed = rows.join(F.broadcast(sources), rows["source"].eqNullSafe(sources["source"])).select(
-        "id", "tag", "size", "k", "source_size", "target", "full", "rest", F.pmod(F.xxhash64("id", "size", "tag", F.lit(seed)), F.col("blocks")).alias("block")
+        "id", "t1", "t2", "size", "k", "source_size", "target", "full", "rest", F.pmod(F.xxhash64("id", "size", "t1", F.lit(seed)), F.col("blocks")).alias("block")
     )
     totals = placed.groupBy("k", "block", "full", "rest").agg(F.sum("size").alias("words"), F.coalesce(F.min(F.when(F.col("size") > 0, F.col("size"))), F.lit(0)).alias("least"))
     order = Window.partitionBy("k").orderBy(F.xxhash64("k", "block", F.lit(seed + 1)), "block")
@@ -146,7 +185,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = placed.join(drawn, ["k", "block"])
 
     # at the edge, block by block in a seeded order, the first documents that fill the room
-    single = joined.filter("extra <> 2").withColumn("mark", F.xxhash64("id", "size", "tag", F.lit(seed + 2)))
+    single = joined.filter("extra <> 2").withColumn("mark", F.xxhash64("id", "size", "t1", F.lit(seed + 2)))
     fits = F.col("size") <= F.col("room")
     line = Window.partitionBy("k").orderBy("rank", "mark", "size", "id").rowsBetween(Window.unboundedPreceding, 0)
     at_edge = single.filter("extra = 1").withColumn("upto", F.sum(F.when(fits, F.col("size")).otherwise(0)).over(line))
@@ -172,7 +211,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     both = both.unionByName(left.filter("pick is null").withColumn("taken_extra", F.lit(False)).drop("mark", "pick")).unionByName(closing.drop("mark", "pick"))
     out = both.withColumn("copies", F.col("full") + F.col("taken_extra").cast("int")).select(
         F.col("id").cast(kind).alias(id_col),
-        "tag",
+        "t1",
+        "t2",
         "size",
         "source_size",
         "target",

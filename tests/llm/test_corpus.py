@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kindred.llm.decontaminate import Index, Item, contaminated, drop_contaminated, edits, hashed_words, split_item
-from kindred.llm.mixing import mix_sources, split_quotas, targets
+from kindred.llm.mixing import hypergeometric, mix_sources, share_out, split_quotas, targets
 from kindred.llm.sharding import kd_shards
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -32,6 +32,19 @@ def test_splitting_tree():
     assert np.array_equal(parts, split_quotas(quotas, 13, np.random.default_rng(1)))
 
 
+def test_draws_beyond_numpys_limit():
+    rng = np.random.default_rng(5)
+    quotas = np.full(8000, 131_072, np.int64)
+    part = share_out(quotas, int(quotas.sum()) // 2, rng)
+    assert part.sum() == quotas.sum() // 2 and (part >= 0).all() and (part <= quotas).all()
+    # mean and spread as the distribution has them, for more and for fewer good units than bad, and for many draws
+    for good, bad, n in ((3_000_000_000, 1_000_000_000, 10_000), (500_000_000, 5_000_000_000, 1_000_000), (10**12, 10**12, 2 * 10**12 - 1000)):
+        draws = np.array([hypergeometric(good, bad, n, rng) for _ in range(3000)], float)
+        all_, m = good + bad, n
+        mean, sd = m * good / all_, (m * good * bad / all_ / all_ * (all_ - m) / (all_ - 1)) ** 0.5
+        assert abs(draws.mean() - mean) < 5 * sd / 3000**0.5 and abs(draws.std() / sd - 1) < 0.08
+
+
 @pytest.fixture(scope="module")
 def sized(spark):
     rng = random.Random(2)
@@ -114,30 +127,45 @@ def leaks(spark):
     return rows, want, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
 
 
-@pytest.mark.parametrize("segments", [384, 7])
-def test_decontaminate(leaks, segments):
+@pytest.mark.parametrize("postings", [10**9, 300])
+def test_decontaminate(leaks, postings):
     rows, want, docs, items = leaks
-    found = contaminated(docs, items, segments=segments)
+    found = contaminated(docs, items, postings=postings)
     assert {(r.doc_id, r.item) for r in found.collect()} == want and found.count() == len(want)
-    clean = {r.doc_id for r in drop_contaminated(docs, items, segments=segments).collect()}
+    clean = {r.doc_id for r in drop_contaminated(docs, items, postings=postings).collect()}
     assert clean == {d for d, _ in rows} - {d for d, _ in want}
 
 
-def test_search_is_exhaustive(leaks):
-    """Pruned scores against plain BM25 of every passage and segment."""
-    rows, _, _, _ = leaks
+@pytest.mark.parametrize("block", [1, 8, 1000])
+def test_search_is_exhaustive(monkeypatch, block):
+    """Block-max WAND against BM25 written out: every passage with every segment."""
+    import math
+
+    from kindred.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "BLOCK", block)
     rng = random.Random(7)
-    texts = [words(rng, rng.randrange(5, 60), vocabulary=150) for _ in range(37)]
-    index = Index([(Item(k, h, h[:0]), h) for k, h in enumerate(hashed_words(texts))])
-    passages = hashed_words([words(rng, 80, vocabulary=150) for _ in range(120)])
-    terms = index.terms(np.concatenate(passages))
-    ends = np.cumsum([len(p) for p in passages])
-    starts = ends - [len(p) for p in passages]
+    texts = [words(rng, rng.randrange(5, 60), vocabulary=150).split() for _ in range(67)]
+    known = decontaminate.Statistics.of((len(t), np.unique(h)) for t, h in zip(texts, hashed_words([" ".join(t) for t in texts])))
+    parts = [(Item(k, h, h[:0]), h) for k, h in enumerate(hashed_words([" ".join(t) for t in texts]))]
+    queries = [words(rng, 80, vocabulary=150).split() for _ in range(120)]
+    df, n, mean = Counter(w for t in texts for w in set(t)), len(texts), sum(map(len, texts)) / len(texts)
+
+    def weight(w, t):
+        f = t.count(w)
+        return math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(t) / mean))
+
+    exact = {(q, s): sum(weight(w, t) for w in set(t) & set(queries[q])) / sum(weight(w, t) for w in set(t)) for q in range(len(queries)) for s, t in enumerate(texts)}
+    ends = np.cumsum([len(q) for q in queries])
+    hashes = np.concatenate(hashed_words([" ".join(q) for q in queries]))
     for threshold in (0.15, 0.3):
-        got = {(p, s): x for p, s, x in zip(*(c.tolist() for c in index.search(terms, starts, ends, threshold)))}
-        full = np.array([index.impact[np.unique(terms[a:b][terms[a:b] < len(index.vocabulary)])].sum(axis=0) for a, b in zip(starts, ends)])
-        want = {(int(p), int(s)) for p, s in zip(*np.nonzero(full >= threshold))}
-        assert want <= set(got) and all(full[k] >= threshold - 1e-4 for k in got) and want
+        got = {}
+        for some in (parts[:30], parts[30:]):  # two indexes with the statistics of both
+            index = Index(some, known)
+            found = index.search(index.terms(hashes), ends - [len(q) for q in queries], ends, threshold)
+            got |= {(p, index.items[index.owner[s]].id): x for p, s, x in zip(*(c.tolist() for c in found))}
+        want = {k for k, x in exact.items() if x >= threshold}
+        assert want <= set(got) and all(exact[k] >= threshold - 1e-4 and abs(exact[k] - x) < 1e-4 for k, x in got.items()) and want
 
 
 def test_lightly_edited_items(spark):
