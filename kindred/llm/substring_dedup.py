@@ -29,7 +29,7 @@ from kindred.shared import discard, materialise, slots_for
 #: Suffixes that one subtree may hold (each takes about 400 bytes while it is sorted).
 SUFFIXES_PER_TREE = 300_000
 #: Suffixes that a map task gathers before it sends them.
-FLUSH = 500_000
+FLUSH = 1_000_000
 #: Bits of a prefix key: of the first word, the second, third and fourth, of the next four together, and of the whole window.
 WORD_BITS, NEXT_BITS = (14, 12, 10, 8), 8
 #: Words of a text, joined by one space, by built-in functions.
@@ -147,7 +147,7 @@ def subtree(table: pa.Table, window: int) -> pa.Table:
 
 
 def repeated_windows(docs: DataFrame, window: int = 20, gram: int = 8, suffixes_per_tree: int = SUFFIXES_PER_TREE) -> tuple[DataFrame, DataFrame]:
-    """Over keyed rows: the documents that may hold repeats, materialised, and (key, places) of their windows that start earlier elsewhere, as runs."""
+    """Over keyed rows: the documents that may hold repeats, materialised, and (key, places), materialised, of their windows that start earlier elsewhere, as runs."""
     slots = slots_for(docs, BYTES_PER_SLOT)
     affected = materialise(docs.join(repeated_anchors(docs, window, gram, slots), list(KEY)), "suffixes")
     edges, alphabet = prefix_bounds(affected, window, gram, suffixes_per_tree)
@@ -172,7 +172,7 @@ def repeated_windows(docs: DataFrame, window: int = 20, gram: int = 8, suffixes_
     def tree(table: pa.Table) -> pa.Table:
         return subtree(table, window)
 
-    return affected, per_document(affected.mapInArrow(scan, EXCHANGE).groupBy("slot").applyInArrow(tree, PLACES))
+    return affected, materialise(per_document(affected.mapInArrow(scan, EXCHANGE).groupBy("slot").applyInArrow(tree, PLACES)), "repeats")
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, gram: int = 8, digest: bool = False, suffixes_per_tree: int = SUFFIXES_PER_TREE) -> DataFrame:
@@ -211,7 +211,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     changed = affected.drop("places").join(removed, list(KEY)).mapInArrow(strip, f"{KEYS}, n_removed long, spans array<struct<start:int,end:int>>, {name} string")
     changed = materialise(changed.dropDuplicates(list(KEY)), "stripped")
-    discard(affected)
+    for t in (affected, removed):
+        discard(t)
     whole = F.expr(f"sha2({KEPT}, 256)" if digest else KEPT)
     n_words = F.expr(f"if({KEPT} = '', 0L, cast(length({KEPT}) - length(replace({KEPT}, ' ', '')) + 1 as long))")
     plain = base.select(*KEY, n_words.alias("n_words"), whole.alias("whole"))

@@ -1,7 +1,7 @@
 """Suffixes as rows of words: packing, unpacking, sorting in word order, and the tree that the sorted rows stand for.
 
 A word is a letter: its 64-bit hash. Rows travel sorted, each without what it shares with the row before, and a letter as the
-two-byte code of one of the commonest words or else as 48 bits of its hash.
+two-byte code of one of the commonest words or else as 40 bits of its hash.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ def pack_rows(words: np.ndarray, codes: np.ndarray, letters: np.ndarray) -> list
     flat = words[np.arange(width) >= skip[:, None]]
     own = codes[flat]
     rare = letters[flat[own == OTHER]]
-    return [skip, own, (rare & np.uint64(0xFFFFFFFF)).astype("<u4"), (rare >> np.uint64(32) & np.uint64(0xFFFF)).astype("<u2")]
+    return [skip, own, (rare & np.uint64(0xFFFFFFFF)).astype("<u4"), (rare >> np.uint64(32)).astype(np.uint8)]
 
 
 def unpack_rows(skip: np.ndarray, own: np.ndarray, low: np.ndarray, high: np.ndarray, width: int) -> np.ndarray:
