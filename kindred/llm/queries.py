@@ -23,7 +23,8 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kindred.llm.mixing import mix_sources
 
     mixed = mix_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.expr("transform(draws, d -> d.shard)").alias("shards"))
+    lists = [F.expr(f"transform(draws, d -> d.{c})").alias(f"{c}s") for c in ("shard", "order")]
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", *lists)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +34,8 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in ("email", "ip", "card", "phone", "term")]
     listed = "array_join(transform({}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
     base = F.sha2(F.expr(listed.format("filter(spans, s -> s.kind <> 'term')")), 256).alias("base_sha256")
-    return found.select("doc_id", *counts[:4], base, F.expr(listed.format("spans")).alias("spans"), counts[4])
+    removed = F.expr("cast(size(filter(spans, s -> s.action = 'remove')) as long)").alias("n_removed")
+    return found.select("doc_id", *counts[:4], base, F.expr(listed.format("spans")).alias("spans"), counts[4], removed, F.size("spans").cast("long").alias("n_spans"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +62,9 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sparse_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kindred.llm.sparse_suffix import repeated_passages
 
-    return repeated_passages(table(spark, sf_dir, "documents"), length=50)
+    found = repeated_passages(table(spark, sf_dir, "documents"), length=50)
+    spans = [F.expr(f"array_join(transform({c}, s -> concat_ws(':', s.start, s.end)), ',')").alias(c) for c in ("repeated", "later")]
+    return found.select("doc_id", "n_words", "n_repeated", "n_later", *spans, "class_id", "n_linked")
 
 
 def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,4 +161,33 @@ ORACLES: dict[str, str] = {
         SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
                NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 10 * (n_words - n_removed_words) >= 3 * n_words AS kept
         FROM result""",
+    "op7_sparse_suffix_dedup": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, unnest(list) AS word, generate_subscripts(list, 1) - 1 AS pos, len(list) AS n_words
+            FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS list FROM documents)
+        ), windows AS (
+            SELECT doc_id, pos, n_words, md5(string_agg(word, ' ') OVER w) AS body, count(*) OVER w AS n
+            FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)
+        ), again AS (
+            SELECT doc_id, pos, n_words, row_number() OVER o > 1 AS later, first_value(doc_id) OVER o AS head
+            FROM windows WHERE n = 50 WINDOW o AS (PARTITION BY body ORDER BY doc_id, pos)
+            QUALIFY count(*) OVER (PARTITION BY body) > 1
+        ), runs AS (
+            SELECT doc_id, kind, start, max(pos) + 50 AS "end" FROM (
+                SELECT doc_id, kind, pos, max(CASE WHEN opens THEN pos END) OVER (PARTITION BY doc_id, kind ORDER BY pos) AS start FROM (
+                    SELECT doc_id, kind, pos, coalesce(pos - lag(pos) OVER (PARTITION BY doc_id, kind ORDER BY pos) > 50, true) AS opens FROM (
+                        SELECT doc_id, pos, 'all' AS kind FROM again UNION ALL SELECT doc_id, pos, 'later' FROM again WHERE later)))
+            GROUP BY doc_id, kind, start
+        ), spans AS (
+            SELECT doc_id, coalesce(sum("end" - start) FILTER (kind = 'all'), 0)::BIGINT AS n_repeated, coalesce(sum("end" - start) FILTER (kind = 'later'), 0)::BIGINT AS n_later,
+                   coalesce(string_agg(start || ':' || "end", ',' ORDER BY start) FILTER (kind = 'all'), '') AS repeated,
+                   coalesce(string_agg(start || ':' || "end", ',' ORDER BY start) FILTER (kind = 'later'), '') AS later
+            FROM runs GROUP BY doc_id
+        ), edges AS (
+            SELECT DISTINCT doc_id AS a, head AS b FROM again WHERE doc_id <> head UNION SELECT DISTINCT head, doc_id FROM again WHERE doc_id <> head
+        ), reach AS (
+            SELECT DISTINCT doc_id AS node, doc_id AS other FROM again UNION SELECT reach.node, edges.b FROM reach JOIN edges ON edges.a = reach.other
+        )
+        SELECT doc_id, (SELECT max(n_words) FROM words w WHERE w.doc_id = s.doc_id)::BIGINT AS n_words, n_repeated, n_later, repeated, later, class_id, n_linked
+        FROM spans s JOIN (SELECT node AS doc_id, min(other) AS class_id, count(*) - 1 AS n_linked FROM reach GROUP BY node) USING (doc_id)""",
 }
