@@ -8,6 +8,8 @@
    tree that is at least so deep: a maximal repeat's beginning. The node's first leaf (least id and position) stays; the window at
    every other leaf is removed. Nodes below it needn't be opened, as all its leaves but one go.
 
+Of rows with equal texts only the one of least id is looked at: every window of the others starts earlier in it.
+
 A map chunk sorts its own suffixes first, by prefix doubling, and sends each sequence of words once: what thousands of copies
 share reaches its subtree once per chunk.
 """
@@ -146,10 +148,11 @@ def subtree(table: pa.Table, window: int) -> pa.Table:
     return pa.Table.from_batches([batch(None, k, blob=blobs)])
 
 
-def repeated_windows(docs: DataFrame, window: int = 20, gram: int = 8, suffixes_per_tree: int = SUFFIXES_PER_TREE) -> tuple[DataFrame, DataFrame]:
-    """Over keyed rows: the documents that may hold repeats, materialised, and (key, places), materialised, of their windows that start earlier elsewhere, as runs."""
+def repeated_windows(docs: DataFrame, firsts: DataFrame, window: int = 20, gram: int = 8, suffixes_per_tree: int = SUFFIXES_PER_TREE) -> tuple[DataFrame, DataFrame]:
+    """Over keyed rows, of which the keys ``firsts`` are looked at: the documents that may hold repeats, materialised, and (key, places), materialised, of their windows that start earlier elsewhere, as runs."""
     slots = slots_for(docs, BYTES_PER_SLOT)
-    affected = materialise(docs.join(repeated_anchors(docs, window, gram, slots), list(KEY)), "suffixes")
+    marked = repeated_anchors(docs, window, gram, slots).join(firsts, list(KEY), "left_semi")
+    affected = materialise(docs.join(marked, list(KEY)).dropDuplicates(list(KEY)), "suffixes")
     edges, alphabet = prefix_bounds(affected, window, gram, suffixes_per_tree)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +191,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if not 1 <= gram <= window <= 255:
         raise ValueError("gram must be between 1 and window, window at most 255")
     base = keyed(docs, id_col, text_col)
-    affected, removed = repeated_windows(base, window, gram, suffixes_per_tree)
+    firsts = materialise(base.groupBy("t1", "t2").agg(F.min("rid").alias("rid")), "firsts")
+    affected, removed = repeated_windows(base, firsts, window, gram, suffixes_per_tree)
     name = "kept_sha256" if digest else "kept_text"
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -210,17 +214,21 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_pydict({**{c: piece.column(c) for c in KEY}, "n_removed": pa.array(n, pa.int64()), "spans": pa.array(spans, span), name: pa.array(body, pa.string())})
 
     changed = affected.drop("places").join(removed, list(KEY)).mapInArrow(strip, f"{KEYS}, n_removed long, spans array<struct<start:int,end:int>>, {name} string")
-    changed = materialise(changed.dropDuplicates(list(KEY)), "stripped")
+    changed = materialise(changed, "stripped")
     for t in (affected, removed):
         discard(t)
     whole = F.expr(f"sha2({KEPT}, 256)" if digest else KEPT)
     n_words = F.expr(f"if({KEPT} = '', 0L, cast(length({KEPT}) - length(replace({KEPT}, ' ', '')) + 1 as long))")
-    plain = base.select(*KEY, n_words.alias("n_words"), whole.alias("whole"))
+    plain = base.select(*KEY, n_words.alias("n_words"), whole.alias("whole")).join(firsts.withColumnRenamed("rid", "least"), ["t1", "t2"])
     both = plain.join(changed, list(KEY), "left")
+    # a copy of a text that has a window loses all its words
+    copy = (F.col("rid") > F.col("least")) & (F.col("n_words") >= window)
+    nothing = F.lit("")
+    every = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
     return both.select(
         named(docs, id_col),
         "n_words",
-        F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
-        F.coalesce(name, "whole").alias(name),
-        F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"),
+        F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
+        F.when(copy, F.sha2(nothing, 256) if digest else nothing).otherwise(F.coalesce(name, "whole")).alias(name),
+        F.when(copy, every).otherwise(F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>"))).alias("spans"),
     )
