@@ -106,6 +106,19 @@ def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(out)
 
 
+def prefix_marks(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each byte of the ranges data[start : end] (ascending, apart), one byte of a hash of its range up to it."""
+    size = end - start
+    if not len(start):
+        return np.zeros(0, np.uint8)
+    up, down = _BYTES(len(data) + 1)
+    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - start, size)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
+        return (mix((sums[at + 1] - np.repeat(sums[start], size)) * np.repeat(down[start], size)) >> np.uint64(56)).astype(np.uint8)
+
+
 class Words:
     """Words of the documents of one array: byte ``start`` and ``end``, document ``doc``, and per document ``first`` (len + 1)."""
 

@@ -1,127 +1,124 @@
 """Toxicity by compression distance.
 
-Toxic text is what the labelled toxic rows hold beyond chance: words that start with a significant prefix (counted by
-documents, near copies once). Ordinary text is what the other rows hold most. Two zstandard dictionaries are
-made of them. A window is one word between fixed neighbours, each byte followed by a mark of the bytes up to it,
-so that only beginnings of words match; its distance is the compressed length with the ordinary dictionary minus that with the toxic
-one, over the word's length. A document's features are its greatest distance, how many windows lie beyond a cut, and its
-length; cut and weights are calibrated on the training rows.
+Pairs of zstandard dictionaries are trained on labelled texts. The ordinary one is trained on the rows without toxicity. The toxic one is
+trained on the toxic rows, on what of them the ordinary dictionary leaves dear: words that cost more than a few bytes with it. In use
+the toxic dictionary stands before the ordinary one, so that ordinary text costs the same with both. A document is cut into
+windows of several words; a window's distance is its compressed length with the ordinary dictionary minus that with the toxic one, summed
+over a few pairs that were trained with other sizes, as which segments a small dictionary holds is partly chance. A
+document's features are how many of its windows lie at or beyond each of a few distances, and its length; their weights
+are calibrated on labelled rows that no dictionary was trained on.
+
+Text is compressed in a spelling that makes matches begin where words do: letters in lower case, ASCII punctuation as spaces, and after
+each byte a mark of the word up to there.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.textkit import LOWER, Words, pieces
+from kindred.llm.textkit import LOWER, Words, pieces, prefix_marks
+from kindred.shared import discard, materialise
 
 _FOLD = LOWER.copy()
 _FOLD[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 0x20
-#: Labelled rows to learn from, least hash of the id first.
-SAMPLE = 5000
-#: Bytes of each dictionary.
-DICTIONARY = 12_000
-LEFT, RIGHT = b" of the that ", b" with this from "
-#: Bytes of a prefix that can mark toxic words.
-PREFIX, LONGEST = 4, 12
-MEMO = 1_000_000
+#: Labelled rows to learn from, least hash of the id first, and bytes of their texts, at most.
+SAMPLE, SAMPLE_BYTES = 5000, 64 << 20
+#: Of ten rows, how many the dictionaries are trained on; the others calibrate.
+TRAINED = 7
+#: Of each pair of dictionaries: bytes of the ordinary one and of the toxic one, and the training's segment and match lengths, in bytes of the spelling.
+PAIRS = ((9_000, 2_500, 20, 8), (12_000, 1_500, 24, 8), (12_000, 2_000, 20, 6), (6_000, 2_500, 24, 8))
+#: Bytes above which a word is dear to the ordinary dictionary.
+DEAR = 6
+#: Words of a window, and the distances that count.
+SPAN = 6
+CUTS = (2, 4, 6, 8, 10, 12, 15, 18, 22, 27, 33)
+
+
+def spelled(words: Words) -> tuple[bytes, np.ndarray]:
+    """The spelling of all words, one after another, and where each begins (len + 1): each byte and a mark of the bytes up to it, then a space and the last mark again."""
+    size = words.end - words.start
+    n = int(size.sum())
+    inner = np.arange(n) - np.repeat(np.cumsum(size) - size, size)
+    mark = prefix_marks(words.data, words.start, words.end)
+    begin = np.concatenate(([0], np.cumsum(2 * size + 2)))
+    at = np.repeat(begin[:-1], size) + 2 * inner
+    out = np.full(int(begin[-1]), 0x20, np.uint8)
+    out[at], out[at + 1] = words.data[inner + np.repeat(words.start, size)], mark
+    out[begin[1:] - 1] = mark[np.cumsum(size) - 1]
+    return out.tobytes(), begin
+
+
+def windows(words: Words, span: int = SPAN) -> tuple[np.ndarray, list[bytes]]:
+    """The document of each window, and its spelling: ``span`` words, fewer at a document's end."""
+    body, begin = spelled(words)
+    count = -(-words.count // span)
+    doc = np.repeat(np.arange(words.docs), count)
+    a = words.first[:-1][doc] + span * (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count))
+    b = np.minimum(a + span, words.first[1:][doc])
+    return doc, [body[x:y] for x, y in zip(begin[a].tolist(), begin[b].tolist())]
+
+
+class Lengths:
+    """Compressed lengths of windows with one dictionary."""
+
+    def __init__(self, content: bytes):
+        kind = zstandard.ZstdCompressionParameters(window_log=17, chain_log=15, hash_log=15, search_log=4, min_match=4, target_length=32, strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(compression_params=kind)
+        self.compress = zstandard.ZstdCompressor(compression_params=kind, dict_data=held).compress
+
+    def __call__(self, bodies: list[bytes]) -> np.ndarray:
+        compress = self.compress
+        return np.fromiter((len(compress(b)) for b in bodies), np.int64, len(bodies))
+
+
+def inputs(docs: int, count: np.ndarray, doc: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """(documents, 2 + cuts): one, log of words, and logs of windows at or beyond each cut."""
+    beyond = [np.log1p(np.bincount(doc[distance >= c], minlength=docs)) for c in CUTS]
+    return np.stack((np.ones(docs), np.log1p(count), *beyond), axis=1)
 
 
-def spelled(word: bytes) -> bytes:
-    """Each byte and a mark of all the bytes up to it, then a mark of the whole."""
-    out, state = bytearray(), 7
-    for b in word:
-        state = (state * 31 + b) % 251
-        out += bytes((b, 1 + state))
-    return bytes(out) + bytes((0, 1 + state))
+class Distances:
+    """Distance of windows: the sum over all pairs of dictionaries (ordinary, toxic)."""
 
+    def __init__(self, pairs: list[tuple[bytes, bytes]]):
+        self.pairs = [(Lengths(ordinary), Lengths(toxic + ordinary)) for ordinary, toxic in pairs]
 
-def compressor(content: bytes) -> zstandard.ZstdCompressor:
-    kind = zstandard.ZstdCompressionParameters(window_log=15, chain_log=12, hash_log=12, search_log=5, min_match=5, target_length=16, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False, compression_level=0)
-    words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    words.precompute_compress(compression_params=kind)
-    return zstandard.ZstdCompressor(compression_params=kind, dict_data=words)
+    def __call__(self, bodies: list[bytes]) -> np.ndarray:
+        return sum((before(bodies) - after(bodies) for before, after in self.pairs), np.zeros(len(bodies), np.int64))
 
 
 @dataclass
 class Model:
-    """Both dictionaries' contents, the cut, and the weights of ``inputs``."""
+    """The contents of all pairs of dictionaries (none where nothing was learnt) and the weights of ``inputs``."""
 
-    toxic: bytes
-    ordinary: bytes
-    cut: float
-    weights: tuple[float, ...]
+    pairs: list[tuple[bytes, bytes]]
+    weights: np.ndarray
 
-    def scorer(self) -> Distances:
-        return Distances(self.toxic, self.ordinary)
+    def scorer(self) -> Scorer:
+        return Scorer(self)
 
-    def score(self, words: Words, distance: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(distance > 0)
-        x = inputs(words.docs, words.count, words.doc[at], distance[at], self.cut)
-        return 1 / (1 + np.exp(-np.clip(x @ np.array(self.weights), -30, 30)))
 
+class Scorer:
+    def __init__(self, model: Model):
+        self.weights, self.distances = model.weights, Distances(model.pairs)
+
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        words = Words(texts, _FOLD)
+        doc, bodies = windows(words) if self.distances.pairs else (np.zeros(0, np.int64), [])
+        return chances(inputs(words.docs, words.count, doc, self.distances(bodies)) @ self.weights)
 
-class Distances:
-    """Distance of words, each compressed once."""
-
-    def __init__(self, toxic: bytes, ordinary: bytes):
-        self.on = bool(toxic)
-        self.toxic, self.ordinary = compressor(toxic + LEFT + RIGHT), compressor(ordinary + LEFT + RIGHT)
-        self.memo: dict[int, float] = {}
-
-    def one(self, word: bytes) -> float:
-        window = LEFT + spelled(word) + RIGHT
-        return (len(self.ordinary.compress(window)) - len(self.toxic.compress(window))) / (2 * len(word) + 2)
-
-    def of(self, words: Words) -> np.ndarray:
-        """Distance of every word."""
-        if not self.on:
-            return np.zeros(len(words))
-        hashes, first, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        body, memo = words.data.tobytes(), self.memo
-        out = np.empty(len(hashes))
-        for k, (h, s, e) in enumerate(zip(hashes.tolist(), words.start[first].tolist(), words.end[first].tolist())):
-            d = memo.get(h)
-            if d is None:
-                d = memo[h] = self.one(body[s:e])
-            out[k] = d
-        return out[back]
-
-
-def inputs(docs: int, count: np.ndarray, doc: np.ndarray, distance: np.ndarray, cut: float) -> np.ndarray:
-    """(documents, 4): one, greatest distance (0 at least), log of windows beyond the cut, log of words; from the windows at a distance above 0."""
-    top = np.zeros(docs)
-    np.maximum.at(top, doc, distance)
-    beyond = np.bincount(doc[distance >= cut], minlength=docs)
-    return np.stack((np.ones(docs), top, np.log1p(beyond), np.log1p(count)), axis=1)
-
-
-def _excess(k: int, n: int, share: float) -> float:
-    """n times the divergence of k / n from ``share``: minus the log of the chance bound."""
-    p = k / n
-    return n * (p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0.0))
-
-
-def _content(words: list[bytes], size: int) -> bytes:
-    """The last of ``words`` that fit, in order: the commonest come last, nearest to the window, where they are cheapest to point to."""
-    held: list[bytes] = []
-    for w in reversed(words):
-        size -= 2 * len(w) + 3
-        if size < 0:
-            break
-        held.append(spelled(w))
-    return b" ".join(reversed(held))
+
+def chances(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -163,63 +160,54 @@ def first_copies(texts: list[str], shingle: int = 8) -> np.ndarray:
     return keep
 
 
-def _distinct(texts: list[str]) -> Iterator[tuple[int, set[bytes]]]:
-    for at, words in _chunks(texts):
-        body = words.data.tobytes()
-        for d in range(words.docs):
-            a, b = words.first[d], words.first[d + 1]
-            yield at + d, {body[s:e] for s, e in zip(words.start[a:b].tolist(), words.end[a:b].tolist())}
+def trained(size: int, samples: list[bytes], segment: int, match: int) -> bytes:
+    """A dictionary's content trained on samples: segments whose parts stand in the most samples. Too few to train on are taken as they are."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=segment, d=match).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
 
 
-def learn(texts: list[str], labels: list[int], size: int = DICTIONARY) -> Model:
-    """Dictionaries, cut and weights from labelled texts. Without rows of both labels every score is the share of toxic rows."""
+def _spellings(texts: list[str]) -> Iterator[list[bytes]]:
+    """Of each text, its words' spellings, each once."""
+    for _, words in _chunks(texts):
+        body, begin = spelled(words)
+        for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+            yield list(dict.fromkeys(body[x:y] for x, y in zip(begin[a:b].tolist(), begin[a + 1 : b + 1].tolist())))
+
+
+def dictionaries(plain: list[bytes], toxic: list[list[bytes]]) -> list[tuple[bytes, bytes]]:
+    """Contents of the ordinary and the toxic dictionary of each pair. plain: spellings of texts; toxic: of their words."""
+    out = []
+    for size, most, segment, match in PAIRS:
+        ordinary = trained(size, [p for p in plain if p] or [b" "], segment, match)
+        compress = Lengths(ordinary).compress
+        bare = len(compress(b""))
+        cost = {w: len(compress(w)) - bare for w in {w for own in toxic for w in own}}
+        dear = [d for d in (b"".join(w for w in own if cost[w] > DEAR) for own in toxic) if d]
+        out.append((ordinary, trained(most, dear or [b" "], segment, match)))
+    return out
+
+
+def learn(texts: list[str], labels: list[int]) -> Model:
+    """Dictionaries and weights from labelled texts. Without rows of both labels to train on and to calibrate on every score is the share of toxic rows.
+
+    The weights are those that fit best the rows that the dictionaries weren't trained on; the dictionaries are then trained on all rows.
+    """
     texts = [t or "" for t in texts]
     y = np.array(labels, dtype=np.int64)
-    if not len(y) or y.min() == y.max():
+    use = np.arange(len(y)) % 10 < TRAINED
+    if len(set(y[use])) < 2 or len(set(y[~use])) < 2:
         share = float(y.mean()) if len(y) else 0.0
-        return Model(b"", b"", math.inf, (math.log((share + 1e-9) / (1 - share + 1e-9)), 0.0, 0.0, 0.0))
-    single = first_copies(texts)
-    toxic_side = [t for t, one, label in zip(texts, single, y) if one and label]
-    plain_side = [t for t, one, label in zip(texts, single, y) if one and not label]
-    prefixes = lambda words: {w[:k] for w in words for k in range(PREFIX, min(len(w), LONGEST) + 1)}
-    toxic_n: Counter = Counter()
-    toxic_whole: Counter = Counter()
-    for _, own in _distinct(toxic_side):
-        toxic_n.update(prefixes(own))
-        toxic_whole.update(own)
-    candidates = {p for p, n in toxic_n.items() if n >= 3}
-    plain_n: Counter = Counter()
-    plain_whole: Counter = Counter()
-    for _, own in _distinct(plain_side):
-        plain_n.update(prefixes(own) & candidates)
-        plain_whole.update(own)
-    share = max(len(toxic_side), 1) / max(len(toxic_side) + len(plain_side), 2)
-    chance = math.log(100 * max(2, len(toxic_n)))
-    marks: set[bytes] = set()
-    for p in candidates:
-        k, o = toxic_n[p], plain_n.get(p, 0)
-        if k / (k + o) > max(share, 0.6) and _excess(k, k + o, share) > chance:
-            marks.add(p)
-    toxic_words = sorted((w for w in toxic_whole if any(w[:k] in marks for k in range(PREFIX, min(len(w), LONGEST) + 1))), key=lambda w: (toxic_whole[w], w))
-    # each word takes at least 5 bytes of the dictionary
-    plain_words = heapq.nlargest(size // 5 + 1, plain_whole, key=lambda w: (plain_whole[w], w))[::-1]
-    del plain_whole, plain_n, toxic_n, candidates
-    model = Model(_content(toxic_words, size), _content(plain_words, size), math.inf, (0.0, 0.0, 0.0, 0.0))
-    scorer, count, docs, distances = model.scorer(), [], [], []
-    for at, words in _chunks(texts):
-        distance = scorer.of(words)
-        far = np.flatnonzero(distance > 0)
-        count.append(words.count)
-        docs.append(words.doc[far] + at)
-        distances.append(distance[far])
-    count, doc, distance = np.concatenate(count), np.concatenate(docs), np.concatenate(distances)
-    best: tuple = (math.inf,)
-    for cut in np.unique(np.quantile(distance, np.linspace(0, 1, 65)).round(3)).tolist() if len(distance) else [0.5]:
-        x = inputs(len(y), count, doc, distance, cut)
-        w = _logistic(x, y)
-        p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-6, 1 - 1e-6)
-        best = min(best, (float(-(np.log(p) * y + np.log(1 - p) * (1 - y)).sum()), cut, tuple(w.tolist())))
-    return Model(model.toxic, model.ordinary, best[1], best[2])
+        return Model([], np.array([math.log((share + 1e-9) / (1 - share + 1e-9)), *[0.0] * (1 + len(CUTS))]))
+    first = first_copies(texts)
+    side = lambda label, among: _spellings([t for t, one, u, own in zip(texts, first, among, y) if one and u and own == label])
+    train = lambda among: dictionaries([b"".join(w) for w in side(0, among)], list(side(1, among)))
+    distances, x = Distances(train(use)), []
+    for _, words in _chunks([t for t, u in zip(texts, use) if not u]):
+        doc, bodies = windows(words)
+        x.append(inputs(words.docs, words.count, doc, distances(bodies)))
+    return Model(train(np.ones(len(y), bool)), _logistic(np.concatenate(x), y[~use]))
 
 
 def fold(id_col: Column, folds: int = 4) -> Column:
@@ -227,37 +215,41 @@ def fold(id_col: Column, folds: int = 4) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(folds))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, held_out: int | None, folds: int) -> tuple[list[str], list[int]]:
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, most: int, held_out: int | None, folds: int) -> tuple[list[str], list[int]]:
     rows = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).filter("id is not null and label in (0, 1)")
     if held_out is not None:
         rows = rows.filter(fold(F.col("id"), folds) != held_out)
-    # an id that is labelled twice counts as toxic if any label says so
+    # an id that is labelled twice counts as toxic if any label says so; of rows with one id the one of least text is learnt from
     rows = rows.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    got = texts.join(F.broadcast(rows), "id").dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").select("text", "label").toArrow()
+    found = materialise(texts.join(F.broadcast(rows), "id").groupBy("id", "label").agg(F.min("text").alias("text")), "labelled")
+    # at most ``sample`` rows are left, so one task may add them up
+    line = Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    fits = found.select("id", F.sum(F.octet_length("text")).over(line).alias("upto")).filter(F.col("upto") <= most).select("id")
+    got = found.join(fits, "id").orderBy(F.xxhash64("id"), "id").select("text", "label").toArrow()
+    discard(found)
     return got["text"].to_pylist(), got["label"].to_pylist()
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, threshold: float = 0.3, folds: int = 4, held_out: int = 2) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, threshold: float = 0.3, folds: int = 4, held_out: int = 2) -> DataFrame:
     """Scores every document for toxicity.
 
-    Learns from at most ``sample`` labelled rows outside fold ``held_out`` (crc32 of the id as text, modulo ``folds``). Returns
+    Learns from at most ``sample`` labelled rows, of at most ``sample_bytes`` in all, outside fold ``held_out`` (crc32 of the id as text, modulo ``folds``). Returns
     one row per row of ``docs``: the id, held_out, score (0 to 1, higher: toxic likelier) and predicted (1 if score is at least ``threshold``).
     A score depends on the text alone.
 
-    Null and empty texts score as texts without any toxic window. A null id is not held out and never trained on. Repeated rows get equal scores. Labels
+    Null and empty texts score as texts without any toxic window. A null id is not held out and never trained on. Repeated rows get equal scores; of
+    rows that share a labelled id the one of least text is learnt from. Labels
     without a document, and documents without a label, are fine; without labels of both kinds every score is the share of toxic
     labels (0 for none). Other columns are ignored. An empty table gives an empty result.
     """
-    model = learn(*training_rows(docs, labels, id_col, text_col, label_col, sample, held_out, folds))
+    model = learn(*training_rows(docs, labels, id_col, text_col, label_col, sample, sample_bytes, held_out, folds))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
         for piece in pieces(batches, "text"):
-            words = Words(piece.column("text"), _FOLD)
-            score = model.score(words, scorer.of(words))
-            yield pa.record_batch([piece.column("id"), pa.array(score, pa.float64())], names=["id", "score"])
+            yield pa.record_batch([piece.column("id"), pa.array(scorer(piece.column("text")), pa.float64())], names=["id", "score"])
 
     scored = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(scan, f"id {kind}, score double")
     return scored.select(
