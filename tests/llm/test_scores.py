@@ -226,15 +226,73 @@ def test_line_rules_odd(odd_docs, no_docs):
 # operators 4 and 10
 
 
-def test_names_are_hashed_whole():
+def test_the_views_are_apart():
     import pyarrow as pa
 
-    from kindred.llm.quality import views
+    from kindred.llm.quality import meta_view, text_view
 
+    kind = pa.schema([("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())])
     source = [f"https://www.site-{k}.example" for k in range(20)]
-    piece = pa.record_batch([["a"] * 20, [None] * 20, source, [1] * 20], schema=pa.schema([("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())]))
-    _, meta = views(piece)
-    assert len({m.tobytes() for m in meta}) > 8
+    piece = pa.record_batch([["a"] * 20, [None] * 20, source, [1] * 20], schema=kind)
+    # names are hashed whole; the text doesn't enter the metadata's view, nor metadata the text's
+    assert len({m.tobytes() for m in meta_view(piece)}) > 8 and len({m.tobytes() for m in text_view(piece)}) == 1
+    other = pa.record_batch([[f"### {k} ???\n" for k in range(20)], [None] * 20, source, [1] * 20], schema=kind)
+    assert (meta_view(other) == meta_view(piece)).all()
+
+
+def test_what_co_training_gives():
+    """Few labelled rows, many others, two views that each tell the label: with rounds, held-out rows are told better than without."""
+    import numpy as np
+
+    from kindred.llm.quality import CoTraining, co_train
+
+    rng = np.random.default_rng(4)
+    better = []
+    for _ in range(6):
+        y = (rng.random(6000) < 0.5).astype(np.int64)
+        xs = [np.concatenate(((2.0 * y[:, None] - 1) * 0.45 + rng.normal(size=(6000, 12)), rng.normal(size=(6000, 40))), axis=1) for _ in range(2)]
+        known, free, held = np.arange(60), np.arange(60, 4000), np.arange(4000, 6000)
+
+        def passes(state: CoTraining) -> list:
+            return state.hand_over([x[free] for x in xs], sure=0.9)
+
+        right = [float(((co_train([x[known] for x in xs], y[known], passes, rounds).scores([x[held] for x in xs])[0] > 0.5) == y[held]).mean()) for rounds in (0, 3)]
+        better.append(right[1] - right[0])
+    assert np.mean(better) > 0.02, better
+
+
+def test_a_view_that_tells_nothing_hands_nothing_over():
+    import numpy as np
+
+    from kindred.llm.quality import CoTraining
+
+    rng = np.random.default_rng(5)
+    y = (rng.random(1500) < 0.8).astype(np.int64)
+    xs = [(2.0 * y[:, None] - 1) + rng.normal(size=(1500, 8)), rng.normal(size=(1500, 8))]
+    handed = CoTraining([x[:1000] for x in xs], y[:1000]).hand_over([x[1000:] for x in xs])
+    assert sum(s[2] for s in handed[0]) == 0 < min(s[2] for s in handed[1])
+
+
+def test_quality_learns_from_every_row(spark, monkeypatch):
+    """The pass over the written features adds up what each unlabelled row gives, whatever the number of tasks."""
+    import numpy as np
+
+    from kindred.llm import quality as q
+
+    rng = random.Random(31)
+    docs = [(d, " ".join(rng.choice(("alpha", "beta", "gamma%%%" if d % 4 == 0 else "delta", "eps")) for _ in range(40)), "en", f"s{d % 3}", 200) for d in range(400)]
+    labels = [(d, int(d % 4 != 0)) for d in range(0, 400, 2)] + [(d, 1) for d in range(1, 41, 2)]
+    seen = []
+    real = q.CoTraining.refit
+    monkeypatch.setattr(q.CoTraining, "refit", lambda self, handed: (seen.append(handed), real(self, handed))[1])
+    for parts in (1, 7):
+        frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(parts)
+        q.quality(frame, spark.createDataFrame(labels, "doc_id long, quality int"), rounds=1)
+    one, many = seen[1], seen[3]
+    unlabelled = 400 - len(labels)
+    assert sum(s[2] for s in one[1]) == sum(s[2] for s in many[1]) <= unlabelled and sum(s[2] for s in one[1]) > unlabelled / 2
+    assert all(np.allclose(a[0], b[0]) and np.allclose(a[1], b[1]) for u, v in zip(one, many) for a, b in zip(u, v))
+
 
 @pytest.fixture(scope="module")
 def labelled(spark):
