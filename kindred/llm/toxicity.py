@@ -38,7 +38,7 @@ PAIRS = ((9_000, 2_500, 20, 8), (12_000, 1_500, 24, 8), (12_000, 2_000, 20, 6),
 #: Bytes above which a word is dear to the ordinary dictionary.
 DEAR = 6
 #: Words of a window, and the distances that count.
-SPAN = 6
+SPAN = 10
 CUTS = (2, 4, 6, 8, 10, 12, 15, 18, 22, 27, 33)
 
 

@@ -99,3 +99,80 @@ def test_passage_of_many_documents(spark):
     rows = [(d, (" ".join(f"d{d}x{k}" for k in range(30)) + " " + passage if d % 3 == 0 else " ".join(f"d{d}y{k}" for k in range(90)))) for d in range(300)]
     got = {r.doc_id: r.n_later for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {d: 60 * (d > 0) for d in range(0, 300, 3)}
+
+
+def test_crowded_beginnings(spark, random_docs):
+    """Passages of crowded suffixes go each on its own; the result is the same."""
+    df = spark.createDataFrame(random_docs, "doc_id long, text string, source string, lang string").repartition(5)
+    plain, crowded = ({r.doc_id: r for r in repeated_passages(df, length=12, reach=6, gram=3, crowd=c).collect()} for c in (10**9, 1))
+    assert plain == crowded and plain
+
+
+def test_classes(spark):
+    """Documents that share passages, directly or through others, are one class."""
+    passage = lambda name: " ".join(f"{name}{k}" for k in range(60))
+    rows = [(7, passage("a")), (8, passage("a") + " x " + passage("b")), (3, passage("b")), (20, passage("c") + " y " + passage("c")), (21, passage("d")), (30, passage("e")), (31, passage("e")), (None, passage("e"))]
+    got = {r.doc_id: (r.class_id, r.n_linked) for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {7: (3, 2), 8: (3, 2), 3: (3, 2), 20: (20, 0), 30: (30, 2), 31: (30, 2), None: (30, 2)}
+
+
+def test_suffix_trees():
+    """Sorted rows, shared letters and deep nodes against a sort of tuples; packing is exact."""
+    import random
+
+    import numpy as np
+
+    from kindred.llm.suffixes import Alphabet, deep_nodes, pack_rows, unpack_rows, word_order
+    from kindred.llm.textkit import pack, ranks, unpack
+
+    rng = random.Random(12)
+    for _ in range(30):
+        three = [rng.getrandbits(64) for _ in range(3)]
+        letters = np.array([rng.choice(three) for _ in range(200)], np.uint64)
+        size = rng.randrange(1, 9)
+        rows = [tuple(letters[k : k + size].tolist()) for k in range(200 - size)]
+        rank = ranks(letters, size)
+        assert all((rows[a] < rows[b]) == (rank[a] < rank[b]) and (rows[a] == rows[b]) == (rank[a] == rank[b]) for a in range(0, 190, 7) for b in range(0, 190, 11))
+        spelled, number = np.unique(letters, return_inverse=True)
+        by = np.argsort(rank[: len(rows)], kind="stable")
+        codes = Alphabet(spelled[:1]).encode(spelled)
+        packed = unpack(pack(*pack_rows(number[by[:, None] + np.arange(size)].astype(np.uint32), codes, spelled)))
+        back = unpack_rows(*packed, size)
+        own = [rows[k] for k in by]
+        assert all((tuple(back[:, a]) == tuple(back[:, b])) == (own[a] == own[b]) for a in range(0, len(own), 5) for b in range(0, len(own), 3))
+        order, common = word_order(back)
+        starts, ends = deep_nodes(common, size)
+        groups = [sorted(int(by[k]) for k in order[a:b]) for a, b in zip(starts, ends)]
+        want = {}
+        for k, r in enumerate(rows):
+            want.setdefault(r, []).append(k)
+        assert sorted(groups) == sorted(want.values())
+
+
+def same_hash_texts(spark, prefix, n=150_000):
+    """Two texts with equal 32-bit hash."""
+    from pyspark.sql import functions as F
+
+    found = spark.range(n).select(F.concat(F.lit(prefix), F.col("id").cast("string")).alias("t")).groupBy(F.hash("t").alias("h")).agg(F.min("t").alias("a"), F.max("t").alias("b")).filter("a <> b").first()
+    return found.a, found.b
+
+
+def test_rows_of_one_id_with_equal_short_hashes(spark):
+    """Identity is the id and 128 bits of the text: neither one id nor a null one mixes two texts up."""
+    from kindred.llm.decontaminate import contaminated
+    from kindred.llm.line_rules import judge_lines
+    from kindred.llm.pii import personal_data
+
+    words = " ".join(f"w{k}" for k in range(60))
+    a, b = same_hash_texts(spark, words + " a@b.example.com ")
+    rows = [(7, a), (7, b), (None, a), (None, b), (9, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("s")).repartition(3)
+    kept = sorted((r.doc_id or -1, r.kept_text, r.n_removed) for r in dedup_substrings(df).collect())
+    last = {a.split()[-1], b.split()[-1]}
+    # one of the null rows comes first and stays whole, the other keeps what differs; the rows of 7 and 9 repeat them
+    assert [k[0] for k in kept] == [-1, -1, 7, 7, 9] and sorted(k[2] for k in kept[:2]) == [0, 61]
+    assert {k[1].split()[-1] for k in kept[:2]} == last and all(k[1] == "" or k[1] in last for k in kept[2:])
+    assert repeated_passages(df).count() == 5 and {r.class_id for r in repeated_passages(df).collect()} == {7}
+    assert sorted((r.doc_id or -1, len(r.spans)) for r in personal_data(df, support=9).collect()) == [(-1, 1), (-1, 1), (7, 1), (7, 1), (9, 1)]
+    items = spark.createDataFrame([(1, words)], "item_id long, text string")
+    assert contaminated(df, items).count() == 5 and judge_lines(df).count() == 5
