@@ -4,7 +4,8 @@ Pairs of zstandard dictionaries are trained on labelled texts. The ordinary one
 trained on the toxic rows, on what of them the ordinary dictionary leaves dear: words that cost more than a few bytes with it. In use
 the toxic dictionary stands before the ordinary one, so that ordinary text costs the same with both. A document is cut into
 windows of several words; a window's distance is its compressed length with the ordinary dictionary minus that with the toxic one, summed
-over a few pairs that were trained with other sizes, as which segments a small dictionary holds is partly chance. A
+over a few pairs that were trained with other sizes, as which segments a small dictionary holds is partly chance. Where no match with
+the toxic dictionary is longer than with the ordinary one alone, both lengths are equal, and the window isn't compressed for that pair. A
 document's features are how many of its windows lie at or beyond each of a few distances, and its length; their weights
 are calibrated on labelled rows that no dictionary was trained on.
 
@@ -31,14 +32,22 @@ _FOLD = LOWER.copy()
 _FOLD[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 0x20
 #: Labelled rows to learn from, least hash of the id first, and bytes of their texts, at most.
 SAMPLE, SAMPLE_BYTES = 5000, 64 << 20
+#: Bytes of text that are looked at together; so many that what is made of them fits the caches.
+PIECE = 1 << 18
 #: Of ten rows, how many the dictionaries are trained on; the others calibrate.
 TRAINED = 7
 #: Of each pair of dictionaries: bytes of the ordinary one and of the toxic one, and the training's segment and match lengths, in bytes of the spelling.
 PAIRS = ((9_000, 2_500, 20, 8), (12_000, 1_500, 24, 8), (12_000, 2_000, 20, 6), (6_000, 2_500, 24, 8))
 #: Bytes above which a word is dear to the ordinary dictionary.
 DEAR = 6
+#: Bytes of the shortest match.
+MATCH = 4
+#: Bytes at the end of its input and of a dictionary at which zstandard begins no match.
+LAST, UNSEEN = 7, 8
+#: In the place of the toxic content, so that zstandard makes equal tables for both; text in UTF-8 holds no two of it in a row, nor the spelling four.
+FILLER = b"\xff"
 #: Words of a window, and the distances that count.
-SPAN = 10
+SPAN = 6
 CUTS = (2, 4, 6, 8, 10, 12, 15, 18, 22, 27, 33)
 
 
@@ -56,21 +65,21 @@ def spelled(words: Words) -> tuple[bytes, np.ndarray]:
     return out.tobytes(), begin
 
 
-def windows(words: Words, span: int = SPAN) -> tuple[np.ndarray, list[bytes]]:
-    """The document of each window, and its spelling: ``span`` words, fewer at a document's end."""
+def windows(words: Words, span: int = SPAN) -> tuple[np.ndarray, bytes, np.ndarray, np.ndarray]:
+    """The document of each window, the spelling of all words, and where in it each window begins and ends: ``span`` words, fewer at a document's end."""
     body, begin = spelled(words)
     count = -(-words.count // span)
     doc = np.repeat(np.arange(words.docs), count)
     a = words.first[:-1][doc] + span * (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count))
     b = np.minimum(a + span, words.first[1:][doc])
-    return doc, [body[x:y] for x, y in zip(begin[a].tolist(), begin[b].tolist())]
+    return doc, body, begin[a], begin[b]
 
 
 class Lengths:
     """Compressed lengths of windows with one dictionary."""
 
     def __init__(self, content: bytes):
-        kind = zstandard.ZstdCompressionParameters(window_log=17, chain_log=15, hash_log=15, search_log=4, min_match=4, target_length=32, strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
+        kind = zstandard.ZstdCompressionParameters(window_log=17, chain_log=15, hash_log=15, search_log=4, min_match=MATCH, target_length=32, strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
         held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         held.precompute_compress(compression_params=kind)
         self.compress = zstandard.ZstdCompressor(compression_params=kind, dict_data=held).compress
@@ -86,14 +95,102 @@ def inputs(docs: int, count: np.ndarray, doc: np.ndarray, distance: np.ndarray)
     return np.stack((np.ones(docs), np.log1p(count), *beyond), axis=1)
 
 
+def ahead(ordinary: bytes, toxic: bytes) -> set[bytes]:
+    """From each place of the toxic content on, the shortest run of at least MATCH bytes that the ordinary one doesn't hold at a place where zstandard looks.
+
+    Text has a longer match in toxic + ordinary than in ordinary alone just where one of these begins.
+    """
+    both, out, places = toxic + ordinary, set(), len(ordinary) - UNSEEN
+    for at in range(len(toxic)):
+        size = MATCH
+        while size <= len(both) - at and 0 <= ordinary.find(both[at : at + size]) < places:
+            size += 1
+        out.add(both[at : at + size])
+    return out
+
+
+class Runs:
+    """Finds the runs of up to seven sets in bytes, all sets at once, by hashes of their beginnings in one table, and whole ones again among all hashes. Misses none; where hashes of 32 bits are equal it finds one too many."""
+
+    #: In the table: that longer runs begin so.
+    ON = 1 << 7
+
+    def __init__(self, sets: list[set[bytes]]):
+        which: dict[bytes, int] = {}
+        for k, runs in enumerate(sets):
+            for r in runs:
+                which[r] = which.get(r, 0) | 1 << k
+        self.longest = max(map(len, which), default=0)
+        self.table, found = np.zeros(1 << 20, np.uint8), {}
+        hashes = {r[:MATCH]: self.four(int.from_bytes(r[:MATCH], "little")) for r in which}
+        for size in range(MATCH, self.longest + 1):
+            for r, h in hashes.items():
+                if r in which:
+                    self.table[h >> 12] |= which[r]
+                    found[h] = found.get(h, 0) | which[r]
+            further = {r[: size + 1]: r for r in which if len(r) > size}
+            for r in further:
+                self.table[hashes[r[:size]] >> 12] |= self.ON
+            hashes = {r: self.longer(hashes[r[:size]], r[size]) for r in further}
+        self.hashes = np.array(sorted(found), np.uint32)
+        self.sets = np.array([found[h] for h in sorted(found)], np.uint8)
+
+    @staticmethod
+    def four(value):
+        return value * 0x9E3779B1 & 0xFFFFFFFF
+
+    @staticmethod
+    def longer(h, byte):
+        return ((h ^ h >> 15) ^ byte) * 0x9E3779B1 & 0xFFFFFFFF
+
+    def __call__(self, body: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the windows body[begin : end], which follow each other: those in which a run lies, as often as they are found, and the sets (bits)."""
+        first = np.zeros(len(body), np.uint32)
+        for a in range(MATCH):
+            n = (len(body) - a) // MATCH
+            if n > 0:
+                first[a : a + MATCH * n : MATCH] = self.four(body[a : a + MATCH * n].view("<u4"))
+        told = self.table[first >> np.uint32(12)]
+        # zstandard looks for no match in a window's last bytes
+        for k in range(1, LAST + 1):
+            told[np.maximum(end - k, begin)] = 0
+        at = np.flatnonzero(told)
+        h, told, window = first[at], told[at], np.searchsorted(begin, at, side="right") - 1
+        to = at + MATCH
+        last, out = end[window], [(window[:0], told[:0])]
+        for _ in range(MATCH, self.longest + 1):
+            whole = np.flatnonzero((told % self.ON > 0) & (to <= last))
+            place = np.minimum(np.searchsorted(self.hashes, h[whole]), len(self.hashes) - 1)
+            out.append((window[whole], np.where(self.hashes[place] == h[whole], self.sets[place], 0)))
+            on = np.flatnonzero((told >= self.ON) & (to < last))
+            h, to, window, last = h[on], to[on], window[on], last[on]
+            h = self.longer(h, body[to])
+            to += 1
+            told = self.table[h >> np.uint32(12)]
+        return tuple(np.concatenate(c) for c in zip(*out))
+
+
 class Distances:
-    """Distance of windows: the sum over all pairs of dictionaries (ordinary, toxic)."""
+    """Distance of windows: the sum over all pairs of dictionaries (ordinary, toxic).
 
-    def __init__(self, pairs: list[tuple[bytes, bytes]]):
-        self.pairs = [(Lengths(ordinary), Lengths(toxic + ordinary)) for ordinary, toxic in pairs]
+    A window in which no match in toxic + ordinary is longer than in ordinary alone is compressed to the same length with both, so it isn't compressed for that pair.
+    """
 
-    def __call__(self, bodies: list[bytes]) -> np.ndarray:
-        return sum((before(bodies) - after(bodies) for before, after in self.pairs), np.zeros(len(bodies), np.int64))
+    def __init__(self, pairs: list[tuple[bytes, bytes]]):
+        self.pairs = [(Lengths(FILLER * len(toxic) + ordinary), Lengths(toxic + ordinary)) for ordinary, toxic in pairs]
+        self.runs = Runs([ahead(*p) for p in pairs])
+
+    def __call__(self, body: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of the windows body[begin : end], which follow each other."""
+        out = np.zeros(len(begin), np.int64)
+        window, sets = self.runs(np.frombuffer(body, np.uint8), begin, end)
+        for k, (before, after) in enumerate(self.pairs):
+            differs = np.zeros(len(begin), bool)
+            differs[window[sets >> k & 1 == 1]] = True
+            differ = np.flatnonzero(differs)
+            bodies = [body[x:y] for x, y in zip(begin[differ].tolist(), end[differ].tolist())]
+            out[differ] += before(bodies) - after(bodies)
+        return out
 
 
 @dataclass
@@ -113,8 +210,8 @@ class Scorer:
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
         words = Words(texts, _FOLD)
-        doc, bodies = windows(words) if self.distances.pairs else (np.zeros(0, np.int64), [])
-        return chances(inputs(words.docs, words.count, doc, self.distances(bodies)) @ self.weights)
+        doc, *spans = windows(words) if self.distances.pairs else (np.zeros(0, np.int64), b"", np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return chances(inputs(words.docs, words.count, doc, self.distances(*spans)) @ self.weights)
 
 
 def chances(odds: np.ndarray) -> np.ndarray:
@@ -134,7 +231,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def _chunks(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, Words]]:
+def _chunks(texts: list[str], most: int = PIECE) -> Iterator[tuple[int, Words]]:
     """Words of consecutive texts, about ``most`` bytes at a time, with the first one's number."""
     at = 0
     while at < len(texts):
@@ -205,8 +302,8 @@ def learn(texts: list[str], labels: list[int]) -> Model:
     train = lambda among: dictionaries([b"".join(w) for w in side(0, among)], list(side(1, among)))
     distances, x = Distances(train(use)), []
     for _, words in _chunks([t for t, u in zip(texts, use) if not u]):
-        doc, bodies = windows(words)
-        x.append(inputs(words.docs, words.count, doc, distances(bodies)))
+        doc, *spans = windows(words)
+        x.append(inputs(words.docs, words.count, doc, distances(*spans)))
     return Model(train(np.ones(len(y), bool)), _logistic(np.concatenate(x), y[~use]))
 
 
@@ -248,7 +345,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", PIECE):
             yield pa.record_batch([piece.column("id"), pa.array(scorer(piece.column("text")), pa.float64())], names=["id", "score"])
 
     scored = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(scan, f"id {kind}, score double")

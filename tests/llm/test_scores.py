@@ -364,3 +364,58 @@ def test_toxicity_odd(spark, odd_docs, no_docs, labelled):
     assert len(got) == odd_docs.count() and all(0 <= r.score <= 1 for r in got) and toxicity(no_docs, labels).count() == 0
     one = spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int")
     assert {r.predicted for r in toxicity(odd_docs, one).collect()} == {0}
+
+
+def test_toxicity_compresses_only_windows_that_can_differ(monkeypatch):
+    """Distances and scores are those of compressing every window with every dictionary, and most windows need none."""
+    import numpy as np
+    import pyarrow as pa
+
+    from kindred.llm import toxicity as op
+
+    rng = random.Random(31)
+    vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(1, 9))) for _ in range(600)]
+    bad = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(3, 10))) for _ in range(25)]
+    texts, labels = [], []
+    for _ in range(400):
+        w, toxic = [rng.choice(vocabulary) for _ in range(rng.randrange(1, 90))], rng.random() < 0.3
+        if toxic:
+            w += rng.sample(bad, 3)
+            rng.shuffle(w)
+        texts.append(rng.choice([" ", " \n", ", "]).join(w))
+        labels.append(int(toxic))
+    texts += ["", None, "é", "a", "日本語 " * 30, "\xff\xff " * 9]
+    model = op.learn(texts, labels + [0] * 6)
+    scorer, array = model.scorer(), pa.array(texts, pa.large_string())
+    seen, call = [], op.Lengths.__call__
+    monkeypatch.setattr(op.Lengths, "__call__", lambda self, bodies: (seen.append(len(bodies)), call(self, bodies))[1])
+    got = scorer(array)
+    compressed = sum(seen)
+    words = op.Words(array, op._FOLD)
+    doc, body, begin, end = op.windows(words)
+    bodies = [body[a:b] for a, b in zip(begin.tolist(), end.tolist())]
+    full = sum(before(bodies) - after(bodies) for before, after in scorer.distances.pairs)
+    assert len(set(full.tolist())) > 10 and (scorer.distances(body, begin, end) == full).all()
+    assert np.array_equal(got, op.chances(op.inputs(words.docs, words.count, doc, full) @ model.weights))
+    assert 0 < compressed < 0.6 * 2 * len(model.pairs) * len(bodies)
+    assert scorer(pa.array(["", None], pa.large_string())).tolist() == scorer(pa.array([""], pa.large_string())).tolist() * 2
+
+
+def test_runs_against_a_search():
+    """Windows in which a run of a set lies, against a search for each."""
+    import numpy as np
+
+    from kindred.llm.toxicity import LAST, Runs, ahead
+
+    rng = random.Random(32)
+    for _ in range(60):
+        letters = bytes(rng.sample(range(256), 3))
+        some = lambda n: bytes(rng.choice(letters) for _ in range(n))
+        sets = [ahead(some(rng.randrange(9, 60)), some(rng.randrange(1, 30))) for _ in range(3)]
+        sizes = [rng.randrange(1, 40) for _ in range(rng.randrange(12))]
+        body, end = some(sum(sizes)), np.cumsum(sizes, dtype=np.int64)
+        begin = end - np.array(sizes, np.int64)
+        window, held = Runs(sets)(np.frombuffer(body, np.uint8), begin, end)
+        got = {(int(w), k) for w, h in zip(window, held) for k in range(3) if h >> k & 1}
+        want = {(w, k) for w, (a, b) in enumerate(zip(begin, end)) for k in range(3) for r in sets[k] for at in range(a, b - LAST) if body[at : at + len(r)] == r and at + len(r) <= b}
+        assert got == want
