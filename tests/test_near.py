@@ -108,6 +108,17 @@ def test_links_span_and_do_not_list(spark, many):
     assert all(i == min(p for p, j in members.items() if j == i) for i in members.values())
 
 
+def test_several_thresholds_from_one_join(spark, many, monkeypatch):
+    calls = []
+    real = groups.spanning_self_join
+    monkeypatch.setattr(groups, "spanning_self_join", lambda *a: calls.append(a) or real(*a))
+    recs = records(spark, many)
+    got = {t: sorted(r["size"] for r in s.collect()) for t, s in groups.sizes_at(recs, (4, 12)).items()}
+    assert len(calls) == 1
+    for t in (4, 12):
+        assert got[t] == sorted(r[0] for r in groups.group_sizes(groups.components(recs, t)).select("size").collect())
+
+
 def test_longs_are_thinned(spark):
     rng = np.random.default_rng(7)
     ends = rng.integers(0, 90, (900, 2)).tolist() + [[200 + k, 201 + k] for k in range(0, 60, 2)]
